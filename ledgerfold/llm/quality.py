@@ -24,7 +24,7 @@ from .bpe import _arrow_type
 from .common import map_batches
 from .hashing import word_hashes
 
-SAMPLE, BITS, THRESHOLD = 6_000, 14, 0.5
+SAMPLE, BITS, THRESHOLD = 4_000, 14, 0.5
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: Features are shares of a text; the scale gives the optimiser numbers near one.
 SCALE = 30.0
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 def descend(at: list, share: list, y: np.ndarray, dims: int, rounds: int = 120, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Logistic regression over sparse rows by Adam, with all rows in each round."""
     size = np.array([len(a) for a in at])
-    cols, vals, row = np.concatenate(at), np.concatenate(share), np.repeat(np.arange(len(at)), size)
+    cols, vals, row = np.concatenate(at), np.concatenate(share), np.repeat(np.arange(len(at), dtype=np.int32), size)
     w, bias = np.zeros(dims), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros(dims), np.zeros(dims), 0.0, 0.0
     for k in range(1, rounds + 1):
