@@ -9,11 +9,10 @@ smallest values, and the first `KEYS` of them are its keys.
    list). Sizes, then an estimate from the union of the two sketches, sift the pairs; full sets decide.
 3. Links make components. Only where a list still has several of them can a link be missing, so all pairs across
    components are compared in lists of at most `SHORT` classes.
-4. In longer lists (a common line, a large group of copies) only classes that can be alike through common keys alone
-   take part: those with enough keys in long lists (a link that no short list shows has its shared keys in long ones),
-   and whose shingles that no other class of long lists has are few enough: with u of them, |x & y| <= |x| - u bounds
-   the size of any partner. Those left are compared across components, members of the list's largest component with
-   outsiders only.
+4. In longer lists (a common line, a large group of copies) only classes with enough keys in long lists take part (a
+   link that no short list shows has its shared keys in long ones), and only pairs across components that exact bounds
+   on the two sets' difference allow: shingles that no other component has, and how many each shares with the list's
+   smallest class. Members of a list's largest component are compared with outsiders only.
 
 A pair at the threshold shares no key with a chance below (1 - threshold) ** KEYS; the estimate drops one that is
 SLACK above its line, more than six standard deviations away. Nothing else is left out.
@@ -77,28 +76,33 @@ def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return two.where(F.size(F.array_intersect(F.array_intersect("sa", "sb"), "low")) >= (threshold - SLACK) * F.size("low")).select("a", "b").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Of pairs (a, b) those whose full shingle sets reach the threshold. texts: id, text."""
-    percent = round(100 * threshold)
+def overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """a, b and shared (the number of shingles in both full sets), n1, n2 (their sizes) of pairs (a, b). texts: id, text."""
     two = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def make():
         last: list = [None, None]
 
         def step(a, b, ta, tb):
-            links = []
-            for x, y, p, q in zip(a.to_pylist(), b.to_pylist(), ta.to_pylist(), tb.to_pylist(), strict=True):
+            shared, sizes = [], ([], [])
+            for p, q in zip(ta.to_pylist(), tb.to_pylist(), strict=True):
                 if last[0] != p:
                     last[:] = [p, shingle_set(p, size)]
                 other = shingle_set(q, size)
-                common = len(last[1] & other)
-                if common and 100 * common >= percent * (len(last[1]) + len(other) - common):
-                    links.append((x, y))
-            return [x for x, _ in links], [y for _, y in links]
+                shared.append(len(last[1] & other))
+                sizes[0].append(len(last[1]))
+                sizes[1].append(len(other))
+            return a, b, shared, *sizes
 
         return step
 
-    return map_batches(two, ["a", "b", "ta", "tb"], make, "a long, b long", [("a", pa.int64()), ("b", pa.int64())]).distinct()
+    return map_batches(two, ["a", "b", "ta", "tb"], make, "a long, b long, shared long, n1 long, n2 long", [(x, pa.int64()) for x in ("a", "b", "shared", "n1", "n2")])
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Of pairs (a, b) those whose full shingle sets reach the threshold."""
+    both = overlaps(pairs, texts, size)
+    return both.where((F.col("shared") > 0) & (100 * F.col("shared") >= round(100 * threshold) * (F.col("n1") + F.col("n2") - F.col("shared")))).select("a", "b").distinct()
 
 
 def fitting(n: str, m: str, threshold: float):
@@ -127,7 +131,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
 
     # one pass over the texts: those that the stars or the bounds need
     needed = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).unionByName(common.select("id")).distinct()
-    chosen = written(texts.join(needed, "id"), "texts")
+    chosen = written(texts.join(needed.hint("merge"), "id"), "texts")
     links = written(confirmed(stars, chosen, shingle, threshold), "confirmed")
     found = written(components(links), "components")
 
@@ -146,29 +150,44 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
 
 
 def crossing(members: DataFrame, common: DataFrame, texts: DataFrame, found: DataFrame, shingle: int, threshold: float, sets: DataFrame) -> DataFrame:
-    """Pairs of one list and different components that the sizes, the bounds and the sketches allow."""
+    """Pairs of different components that a short list shows, or a long one and the bounds allow; sifted by sketches."""
+    label = found.withColumnRenamed("node", "id").withColumnRenamed("component", "c")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+    def across(rows: DataFrame, cell: str, allowed) -> DataFrame:
+        """Pairs of a cell's members outside its largest component with all others."""
+        counts = rows.groupBy(cell, "c").agg(F.count("*").alias("k"))
+        main = counts.groupBy(cell).agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1).select(cell, "main")
+        rows = rows.join(main, cell)
+        left = rows.where(F.col("c") != F.col("main")).drop("main").withColumnsRenamed({x: f"{x}1" for x in rows.columns if x not in (cell, "main")})
+        pairs = left.join(rows.drop("main"), cell).where((F.col("c1") != F.col("c")) & fitting("n", "n1", threshold) & allowed)
+        return pairs.select(F.least("id", "id1").alias("a"), F.greatest("id", "id1").alias("b")).distinct()
+
+    short = across(labelled(members.where(F.col("size") <= SHORT).select("key", "id", "n")), "key", F.lit(True))
+
+    # long lists: their members from `common`, in cells by the smallest one
+    long = members.where(F.col("size") > SHORT).join(common.select("id"), "id").select("key", "id", "n")
+    cells = labelled(long.join(long.groupBy("key").agg(F.min("id").alias("p")), "key").select("p", "id", "n").distinct())
+    several = cells.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("p")
+    cells = written(cells.join(several, "p"), "cells")
 
     def make():
-        def step(ids, ns, bodies):
+        def step(ids, bodies):
             hashes = [shingle_hashes(t, shingle) for t in bodies.to_pylist()]
-            size = [len(h) for h in hashes]
-            return np.repeat(ids.to_numpy(), size), np.repeat(ns.to_numpy(), size), np.concatenate(hashes).astype(np.int64)
+            return np.repeat(ids.to_numpy(), [len(h) for h in hashes]), np.concatenate(hashes).astype(np.int64)
 
         return step
 
-    # shingles that no other class of the long lists has
-    held = map_batches(common.join(texts.dropDuplicates(["id"]), "id"), ["id", "n", "text"], make, "id long, n long, h long", [("id", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
-    alone = held.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where(F.col("c") == 1).groupBy("id").agg(F.count("*").alias("u"))
-    bound = common.join(alone, "id", "left").select("id", "n", (F.floor((1 + threshold) / threshold * (F.col("n") - F.coalesce("u", F.lit(0))) + 1e-6) - F.col("n")).alias("most"))
-    bound = bound.where(F.col("most") >= F.col("n") * threshold - 1e-6).select("id", "most")
-
-    short = members.where(F.col("size") <= SHORT).select("key", "id", "n", F.lit(None).cast("long").alias("most"))
-    long = members.where(F.col("size") > SHORT).join(bound, "id").select("key", "id", "n", "most")
-    rows = short.unionByName(long).join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    counts = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
-    open_ = counts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1).select("key", "main")
-    rows = written(rows.join(open_, "key"), "open")
-    left = rows.where(F.col("c") != F.col("main")).select("key", *(F.col(x).alias(f"{x}1") for x in ("id", "n", "c", "most")))
-    pairs = left.join(rows, "key").where((F.col("c1") != F.col("c")) & fitting("n", "n1", threshold) & (F.coalesce("most1", "n") >= F.col("n")) & (F.coalesce("most", "n1") >= F.col("n1")))
-    pairs = pairs.select(F.least("id", "id1").alias("a"), F.greatest("id", "id1").alias("b")).distinct()
-    return alike(pairs, sets, threshold)
+    # of a member: its shingles that no other component has and its cell's smallest member hasn't (own), and those it
+    # shares with the latter (with_p). |x ^ y| >= own x + own y + |with_p x - with_p y|
+    bodies = texts.join(cells.select("id").distinct(), "id").dropDuplicates(["id"])
+    held = written(map_batches(bodies, ["id", "text"], make, "id long, h long", [("id", pa.int64()), ("h", pa.int64())]), "held")
+    only = labelled(held).groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") == F.col("hi")).select("h")
+    own = held.join(only, "h").join(cells.select("p", "id"), "id").join(held.select(F.col("id").alias("p"), "h"), ["p", "h"], "left_anti").groupBy("p", "id").agg(F.count("*").alias("own"))
+    with_p = overlaps(cells.select(F.col("p").alias("a"), F.col("id").alias("b")), bodies, shingle).select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("shared").alias("with_p"))
+    rows = written(cells.join(with_p, ["p", "id"]).join(own, ["p", "id"], "left").fillna(0, ["own"]), "bounds")
+    differ = F.col("own") + F.col("own1") + F.abs(F.col("with_p") - F.col("with_p1"))
+    long_pairs = across(rows, "p", differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n1")) + 1e-6)
+    return alike(short.unionByName(long_pairs).distinct(), sets, threshold)

@@ -19,6 +19,7 @@ parts as the shuffle has) is gathered, to find where each part starts.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PieceCache, per_worker, tokenizer_path
+from .common import per_worker, tokenizer_path
 
-END_ID, SHARD_IDS, ROUNDS, LEAST = 1, 1 << 19, 6, 4
+END_ID, SHARD_IDS, ROUNDS, LEAST = 1, 1 << 20, 6, 4
 #: A word of letters that normalise to themselves or their lower case, and the ASCII signs after it. The tokenizer
 #: splits between the two, whatever stands around them.
-WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 SHARD_SCHEMA = "part int, shard int, part_start long, n_tokens long, doc_ids array<long>, doc_at binary, doc_tokens binary, rules binary, rule_tokens binary, symbols binary, base int, width int"
 SHARD_FIELDS = pa.schema(
@@ -41,70 +42,111 @@ SHARD_FIELDS = pa.schema(
 
 class WordIds:
     """Ids of whole texts by the tokenizers library. Its splitting ends every piece at white space, so each distinct
-    space-separated run is encoded once and kept; the ids are those of the whole text."""
+    space-separated run is encoded once and kept; the ids are those of the whole text. At most `limit` runs and as many
+    words are kept beside those of the batch at hand."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.words = PieceCache(self.library, 300_000)
-        self.runs = PieceCache(self.run, 300_000)
+        self.size, self.limit = self.tokenizer.get_vocab_size(with_added_tokens=True), limit
+        self.runs: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
 
     def library(self, run: str) -> bytes:
-        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes() if run else b""
-
-    def run(self, run: str) -> bytes:
-        m = WORD_AND_SIGNS(run) if "<|" not in run else None
-        return self.words[m[1]] + self.words[m[2]] if m else self.words[run]
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = self.library(word)
+        return ids
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        used = set().union(*parts)
+        new = used - self.runs.keys()
+        if len(self.runs) + len(new) > self.limit:
+            self.runs = {r: self.runs[r] for r in used - new} | {"": b""}
+        if len(self.words) > self.limit:
+            self.words = {}
+        for run in new:
+            m = WORD_AND_SIGNS(run) if "<|" not in run else None
+            self.runs[run] = self.word(m[1].lower()) + (self.word(m[2]) if m[2] else b"") if m else self.library(run)
+        get = self.runs.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
+
+
+def batches_of(texts: list[str | None], chars: int = 1 << 21):
+    """Ranges of texts with about so many characters; a longer text is a range of its own."""
+    start = n = 0
+    for k, t in enumerate(texts):
+        n += len(t or "")
+        if n >= chars:
+            yield range(start, k + 1)
+            start, n = k + 1, 0
+    if start < len(texts):
+        yield range(start, len(texts))
 
 
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID, rounds: int = ROUNDS, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair: symbols and rules (pairs; rule k is symbol base + k). Each round counts all pairs, gives those found
-    often a nonterminal, and replaces them; the bar falls from round to round."""
-    seq, rules, made = ids.astype(np.int64), [], 0
-    most_rules = most_rules if most_rules is not None else max(0, (1 << 16) - base)
+    often a nonterminal, and replaces them; the bar falls from round to round. Pairs are counted in a table by their
+    hash, where of two that fall on one place one waits for a later round."""
+    small = base <= 1 << 16
+    most_rules = most_rules if most_rules is not None else (1 << 16) - base if small else 1 << 20
+    kind, half = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
+    seq, rules, made = ids.astype(kind), [], 0
     for k in range(rounds):
-        n = len(seq)
-        bar = max(LEAST, n >> (8 + 2 * k)) if k + 1 < rounds else LEAST
-        if n < 2 or made >= most_rules:
+        bar = max(LEAST, len(seq) >> (8 + 2 * k)) if k + 1 < rounds else LEAST
+        if len(seq) < 2 or made >= most_rules:
             break
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 7) & 0xFFFFF
-        often = (np.bincount(slot, minlength=1 << 20) >= bar)[slot] & (a != end_id) & (b != end_id)
-        at = np.flatnonzero(often)
-        if not len(at):
-            continue
-        pairs, which, count = np.unique((a[at] << 32) | b[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-count, kind="stable")
-        order = order[count[order] >= bar][: most_rules - made]
-        if not len(order):
+        pair = (seq[:-1] << half) | seq[1:]
+        slot = ((pair.astype(np.uint32) if small else (pair ^ (pair >> np.uint64(29))).astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int32)
+        ends = np.flatnonzero(seq == end_id)
+        slot[ends[ends < len(slot)]] = 0
+        slot[ends[ends > 0] - 1] = 0
+        holder = np.zeros(1 << 20, kind)
+        holder[slot] = pair
+        count = np.bincount(slot, minlength=1 << 20)
+        count[0] = 0
+        at = np.flatnonzero((count >= bar)[slot])
+        at = at[holder[slot[at]] == pair[at]]
+        count = np.bincount(slot[at], minlength=1 << 20)
+        often = np.flatnonzero(count >= bar)
+        often = often[np.argsort(-count[often], kind="stable")][: most_rules - made]
+        if not len(often):
             continue
-        urgency = np.zeros(len(pairs), np.int64)
-        urgency[order] = np.arange(len(order), 0, -1)
-        value = np.zeros(n + 1, np.int64)  # of the pair that begins at place i, at i + 1; 0 where none does
-        value[at + 1] = urgency[which]
-        left, here, right = value[:-1], value[1:], np.append(value[2:], 0)
-        # in a run of one pair (x x x) every second place, else the more urgent of two that overlap
-        same = (here > 0) & (here == left)
-        place = np.arange(n)
+        urgency = np.zeros(1 << 20, np.int32)
+        urgency[often] = np.arange(len(often), 0, -1)
+        at = at[urgency[slot[at]] > 0]
+        value = urgency[slot[at]]
+        # where pairs overlap (they begin at neighbouring places): of one pair again and again (x x x) every second
+        # place, else the more urgent one
+        touch = np.diff(at) == 1
+        left = np.where(np.append(False, touch), np.append(0, value[:-1]), 0)
+        right = np.where(np.append(touch, False), np.append(value[1:], 0), 0)
+        same = left == value
+        place = np.arange(len(at))
         head = np.maximum.accumulate(np.where(same, 0, place))
-        take = (here > 0) & (here > np.where(same, 0, left)) & (here >= right) & ((place - head) % 2 == 0)
-        take &= ~np.append(False, take[:-1])
-        spot = np.flatnonzero(take)
-        used, new = np.unique(here[spot], return_inverse=True)
-        pair_of = pairs[order[len(order) - used]]
-        rules.append(np.column_stack([pair_of >> 32, pair_of & 0xFFFFFFFF]))
-        seq = seq.copy()
-        seq[spot] = base + made + new
-        made += len(used)
-        seq = np.delete(seq, spot + 1)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+        take = (value > np.where(same, 0, left)) & (value >= right) & ((place - head) % 2 == 0)
+        take[1:] &= ~(take[:-1] & touch)
+        spot, chosen = at[take], slot[at[take]]
+        used = np.zeros(1 << 20, bool)
+        used[chosen] = True
+        new = np.flatnonzero(used)
+        name = np.zeros(1 << 20, kind)
+        name[new] = np.arange(base + made, base + made + len(new))
+        rules.append(np.column_stack([holder[new] >> half, holder[new] & kind((1 << int(half)) - 1)]).astype(np.int64))
+        made += len(new)
+        seq[spot] = name[chosen]
+        keep = np.ones(len(seq), bool)
+        keep[spot + 1] = False
+        seq = seq[keep]
+    return seq.astype(np.int64), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
 class Grammar:
@@ -112,14 +154,14 @@ class Grammar:
 
     def __init__(self, rules: np.ndarray, base: int):
         self.base = base
-        size = np.ones(base + len(rules), np.int64)
-        expansions: list[np.ndarray] = []
-        for k, (a, b) in enumerate(rules.tolist()):
-            expansions.append(np.concatenate([expansions[x - base] if x >= base else np.array([x], np.uint32) for x in (a, b)]))
-            size[base + k] = len(expansions[-1])
-        self.size = size
-        self.blob = np.concatenate([np.arange(base, dtype=np.uint32), *expansions])
-        self.offset = np.cumsum(size) - size
+        spelled = np.arange(base, dtype="<u4").tobytes()
+        parts = [spelled[4 * k : 4 * k + 4] for k in range(base)] if len(rules) else []
+        for a, b in rules.tolist():
+            parts.append(parts[a] + parts[b])
+        self.size = np.ones(base + len(rules), np.int64)
+        self.size[base:] = [len(x) >> 2 for x in parts[base:]]
+        self.blob = np.frombuffer(spelled + b"".join(parts[base:]), "<u4")
+        self.offset = np.cumsum(self.size) - self.size
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.size[symbols]
@@ -153,13 +195,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         words, doc_ids, coded, n = None, [], [], 0
         for batch in batches:
             words = words or per_worker(("words", tokenizer), lambda: WordIds(tokenizer))
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids.append(d)
-                coded.append(words.encode(t))
-                n += len(coded[-1]) // 4 + 1
-                if n >= shard_ids:
-                    yield pack(part, shard, start, doc_ids, coded, words.size, end_id)
-                    shard, start, doc_ids, coded, n = shard + 1, start + n, [], [], 0
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for span in batches_of(texts):
+                for k, raw in zip(span, words.encode(texts[span.start : span.stop]), strict=True):
+                    doc_ids.append(ids[k])
+                    coded.append(raw)
+                    n += len(raw) // 4 + 1
+                    if n >= shard_ids:
+                        yield pack(part, shard, start, doc_ids, coded, words.size, end_id)
+                        shard, start, doc_ids, coded, n = shard + 1, start + n, [], [], 0
         if doc_ids:
             yield pack(part, shard, start, doc_ids, coded, words.size, end_id)
 

@@ -4,7 +4,8 @@ repeated_passages(docs) finds passages of `min_words` words or more that an earl
 word by word or with small changes; without_passages(docs) cuts them out, so that the earliest copy stays.
 
 1. Seeds: of every window of `WINDOW` runs of `RUN` words the one with the least hash. Two texts that share
-   WINDOW + RUN - 1 words in a row share a seed there, however often the words occur.
+   WINDOW + RUN - 1 words in a row share a seed there, however often the words occur. A run that returns at once, as
+   in repeated words, is a seed of its own each time.
 2. Each seed is joined with its first occurrence in the corpus (the smallest id), so the number of matches is linear,
    also for a passage that a third of all documents have.
 3. A document's matches with one earlier document are chained: in order in both, each step paying for the words it
@@ -61,7 +62,15 @@ def seeds_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     least = sliding(order, size, np.minimum)
     edge = np.zeros(size - 1, np.uint64)
     at = np.flatnonzero(order == sliding(np.concatenate([edge, least, edge]), size, np.maximum))
-    return (runs[at] >> np.uint64(1)).astype(np.int64), at
+    # a run that comes back within GAP words (the the the ...) is told apart by how often it did
+    by_run = np.argsort(runs[at], kind="stable")
+    hashes, places = runs[at][by_run], at[by_run]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (np.diff(places) > GAP)
+    again = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+    out = np.empty(len(at), np.uint64)
+    out[by_run] = mix(hashes + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (out >> np.uint64(1)).astype(np.int64), at
 
 
 def seed_table(docs: DataFrame) -> DataFrame:
