@@ -16,16 +16,14 @@ between, so neither the driver nor a worker holds more than a block.
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import _arrow_type
-from .common import map_batches, per_worker, written
+from .common import map_batches, written
 
-WINDOW, BLOCK_BYTES = 10, 32 << 20
+WINDOW, BLOCK_BYTES = 10, 2 << 20
 #: Bytes of UTF-8: A-Z to a-z, digits, a-z and all of 0x80 and up as they are, the rest to spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -102,42 +100,46 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document row: the id column, n_words, n_hit (words within occurrences), spans (array of [start, end) in
-    words, not overlapping), items (ids found as strings, sorted as strings) and contaminated (n_hit > 0); with
-    keep_text also the text column."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document row: the id column, the columns of keep, n_words, n_hit (words within occurrences), spans (array of
+    [start, end) in words, not overlapping), items (ids found as strings, sorted as strings) and contaminated
+    (n_hit > 0)."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where(F.length("t") > 0)
     total = bench.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
-    id_type, key = _arrow_type(docs, id_col), uuid.uuid4().hex
-    kind = docs.schema[id_col].dataType.simpleString()
+    passed = [id_col, *(c for c in keep if c != id_col)]
+    # names of our own, so that no column of the documents can clash
+    state = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(passed)), F.col(text_col).cast("string").alias("body"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    names = [f"c{k}" for k in range(len(passed))]
+    schema = ", ".join([*(f"{n} {state.schema[n].dataType.simpleString()}" for n in names), "body string, spans array<struct<start: int, end: int>>, items array<string>, n_words long"])
     pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    state = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    fields = [*((n, to_arrow_type(state.schema[n].dataType)) for n in names), ("body", pa.string()), ("spans", pa.list_(pair)), ("items", pa.list_(pa.string())), ("n_words", pa.int64())]
     for block in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.toLocalIterator()])
 
-        def make(shared=shared, block=block):
-            searcher = per_worker(("wu-manber", key, block), lambda: Searcher(shared.value, window))
+        def make(shared=shared):
+            searcher = Searcher(shared.value, window)
 
-            def step(ids, texts, spans, items):
-                sizes, hits, names = [], [], []
+            def step(*columns):
+                *passing, texts, spans, items = columns
+                sizes, hits, found_items = [], [], []
                 for text, before, known in zip(texts.to_pylist(), spans.to_pylist(), items.to_pylist(), strict=True):
                     words = words_of(text)
                     found, new = searcher.search(words)
                     sizes.append(len(words))
                     hits.append([{"start": a, "end": b} for a, b in merged(found + [(x["start"], x["end"]) for x in before])])
-                    names.append(sorted({*known, *new}))
-                return ids, texts, hits, names, sizes
+                    found_items.append(sorted({*known, *new}))
+                return *passing, texts, hits, found_items, sizes
 
             return step
 
-        state = map_batches(state, [id_col, text_col, "spans", "items"], make, f"`{id_col}` {kind}, `{text_col}` string, spans array<struct<start: int, end: int>>, items array<string>, n_words long", [(id_col, id_type), (text_col, pa.string()), ("spans", pa.list_(pair)), ("items", pa.list_(pa.string())), ("n_words", pa.int64())])
+        state = map_batches(state, [*names, "body", "spans", "items"], make, schema, fields)
         if block + 1 < blocks:
             state = written(state, "decontam")
-    out = state.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
-    return out.select(id_col, *([text_col] if keep_text else []), "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
+    return state.select(*(F.col(n).alias(c) for n, c in zip(names, passed)), "n_words", hit.alias("n_hit"), "spans", "items", (hit > 0).alias("contaminated"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_batches, written
 from .components import components
@@ -111,7 +112,8 @@ def fitting(n: str, m: str, threshold: float):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id column, n_shingles, component_id and kept (whether it is the smallest id of its component)."""
+    """Per row: the id column, n_shingles, component_id, kept (whether it is the smallest id of its component) and same (a
+    digest of its shingles, null if there are none)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = sketches(docs, shingle, id_col, text_col, False)
     known = sketches(docs, shingle, id_col, text_col, True).where(F.col("id").isNotNull() & (F.col("n") > 0))
@@ -146,7 +148,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     component = F.coalesce("component", "class", "id")
     component = F.when(F.col("id").isNotNull(), component)
     kind = docs.schema[id_col].dataType
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "same")
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that near_duplicates does not keep. Of rows with the same id and shingles one stays; rows
+    without an id and texts without words stay as they are."""
+    found = near_duplicates(docs, shingle, threshold, id_col, text_col)
+    kept = found.where("kept and same is not null").select(F.col(id_col).cast("long").alias("kept_id"), F.col("same").alias("kept_same")).distinct()
+    columns = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    names = [f"c{k}" for k in range(len(columns))]
+    at = docs.columns.index(text_col)
+    rows = docs.select(*columns)
+
+    def make():
+        def step(*given):
+            sets = [shingle_hashes(t, shingle) for t in given[at].to_pylist()]
+            return *given, [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+
+        return step
+
+    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), "same binary"])
+    rows = map_batches(rows, names, make, schema, [*((n, to_arrow_type(rows.schema[n].dataType)) for n in names), ("same", pa.binary())])
+    own = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+    judged = own.isNotNull() & F.col("same").isNotNull()
+    left = rows.withColumn("own", own).where(judged).join(kept, (F.col("own") == F.col("kept_id")) & (F.col("same") == F.col("kept_same")), "left_semi").dropDuplicates(["own", "same"])
+    return left.select(*names).unionByName(rows.where(~judged).select(*names)).toDF(*docs.columns)
 
 
 def crossing(members: DataFrame, common: DataFrame, texts: DataFrame, found: DataFrame, shingle: int, threshold: float, sets: DataFrame) -> DataFrame:
@@ -185,9 +212,26 @@ def crossing(members: DataFrame, common: DataFrame, texts: DataFrame, found: Dat
     bodies = texts.join(cells.select("id").distinct(), "id").dropDuplicates(["id"])
     held = written(map_batches(bodies, ["id", "text"], make, "id long, h long", [("id", pa.int64()), ("h", pa.int64())]), "held")
     only = labelled(held).groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") == F.col("hi")).select("h")
-    own = held.join(only, "h").join(cells.select("p", "id"), "id").join(held.select(F.col("id").alias("p"), "h"), ["p", "h"], "left_anti").groupBy("p", "id").agg(F.count("*").alias("own"))
-    with_p = overlaps(cells.select(F.col("p").alias("a"), F.col("id").alias("b")), bodies, shingle).select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("shared").alias("with_p"))
-    rows = written(cells.join(with_p, ["p", "id"]).join(own, ["p", "id"], "left").fillna(0, ["own"]), "bounds")
+    own = held.join(only, "h").groupBy("id").agg(F.collect_list("h").alias("own"))
+    both = cells.select("p", "id").join(own, "id", "left").join(bodies.select(F.col("id").alias("p"), F.col("text").alias("tp")), "p").join(bodies.select("id", "text"), "id")
+
+    def make_bounds():
+        last: list = [None, None]
+
+        def step(ps, ids, owns, firsts, texts):
+            shared, alone = [], []
+            for o, tp, t in zip(owns, firsts.to_pylist(), texts.to_pylist(), strict=True):
+                if last[0] != tp:
+                    last[:] = [tp, shingle_hashes(tp, shingle).astype(np.int64)]
+                shared.append(len(np.intersect1d(last[1], shingle_hashes(t, shingle).astype(np.int64), assume_unique=True)))
+                mine = np.array(o.as_py() or [], np.int64)
+                alone.append(len(mine) - len(np.intersect1d(last[1], mine, assume_unique=True)))
+            return ps, ids, shared, alone
+
+        return step
+
+    bounds = map_batches(both, ["p", "id", "own", "tp", "text"], make_bounds, "p long, id long, with_p long, own long", [(x, pa.int64()) for x in ("p", "id", "with_p", "own")])
+    rows = written(cells.join(bounds, ["p", "id"]), "bounds")
     differ = F.col("own") + F.col("own1") + F.abs(F.col("with_p") - F.col("with_p1"))
     long_pairs = across(rows, "p", differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n1")) + 1e-6)
     return alike(short.unionByName(long_pairs).distinct(), sets, threshold)

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, decontam, html_main, minhash, quality, repair, substring, toxicity, unigram, urls
 from .common import read_table, shared_dir
 
@@ -17,7 +19,7 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=0.85).drop("same")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": pipeline,
+} | {
     f.__name__: f for f in (op1_substring, op2_minhash, op3_bpe, op4_tokens, op5_urls, op6_repair, op7_decontaminate, op8_html, op9_toxicity, op10_quality)
 }
 
