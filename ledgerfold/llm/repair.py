@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import per_worker, tokenizer_path
 
-END_ID, SHARD_IDS, ROUNDS, LEAST = 1, 1 << 20, 6, 4
-#: A word of letters that normalise to themselves or their lower case, and the ASCII signs after it. The tokenizer
-#: splits between the two, whatever stands around them.
-WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+END_ID, SHARD_IDS, ROUNDS, LEAST = 1, 1 << 20, 4, 4
+#: A word of letters that normalise to themselves or their lower case may have ASCII signs after it. The tokenizer splits
+#: between the two, whatever stands around them.
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 SHARD_SCHEMA = "part int, shard int, part_start long, n_tokens long, doc_ids array<long>, doc_at binary, doc_tokens binary, rules binary, rule_tokens binary, symbols binary, base int, width int"
 SHARD_FIELDS = pa.schema(
@@ -42,27 +43,34 @@ SHARD_FIELDS = pa.schema(
 
 class WordIds:
     """Ids of whole texts by the tokenizers library. Its splitting ends every piece at white space, so each distinct
-    space-separated run is encoded once and kept; the ids are those of the whole text. At most `limit` runs and as many
-    words are kept beside those of the batch at hand."""
+    space-separated run is encoded once and kept; the ids are those of the whole text. New words of a batch go to the
+    library in one text, where each word's last id tells where it ends. At most `limit` runs and four times
+    as many words are kept beside those of the batch at hand."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size, self.limit = self.tokenizer.get_vocab_size(with_added_tokens=True), limit
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
         self.runs: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.most_words = 4 * limit
 
     def library(self, run: str) -> bytes:
         return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = self.library(word)
-        return ids
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            return {w: self.library(w) for w in words}
+        raw = ids.tobytes()
+        return dict(zip(words, [raw[i:j] for i, j in zip([0, *cuts], cuts)]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -71,11 +79,25 @@ class WordIds:
         new = used - self.runs.keys()
         if len(self.runs) + len(new) > self.limit:
             self.runs = {r: self.runs[r] for r in used - new} | {"": b""}
-        if len(self.words) > self.limit:
-            self.words = {}
+        split = []
         for run in new:
-            m = WORD_AND_SIGNS(run) if "<|" not in run else None
-            self.runs[run] = self.word(m[1].lower()) + (self.word(m[2]) if m[2] else b"") if m else self.library(run)
+            word = run.rstrip(SIGNS)
+            if word.isalpha() and (word.isascii() or LATIN(word)):
+                split.append((run, word.lower(), run[len(word) :]))
+            else:
+                self.runs[run] = self.library(run)
+        if split:
+            fresh = list({w for _, w, _ in split} - self.known.keys())
+            if len(self.known) > self.most_words:
+                self.known = {w: self.known[w] for _, w, _ in split if w in self.known}
+            words, signs = self.known, self.signs
+            words.update(self.words(fresh) if fresh else {})
+            for run, word, tail in split:
+                if tail not in signs:
+                    if len(signs) > 10_000:
+                        signs = self.signs = {"": b""}
+                    signs[tail] = self.library(tail)
+                self.runs[run] = words[word] + signs[tail]
         get = self.runs.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
@@ -101,7 +123,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID, rounds: int = ROU
     kind, half = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
     seq, rules, made = ids.astype(kind), [], 0
     for k in range(rounds):
-        bar = max(LEAST, len(seq) >> (8 + 2 * k)) if k + 1 < rounds else LEAST
+        bar = max(LEAST, len(seq) >> (8 + 3 * k)) if k + 1 < rounds else LEAST
         if len(seq) < 2 or made >= most_rules:
             break
         pair = (seq[:-1] << half) | seq[1:]
