@@ -231,50 +231,57 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
         def step(ids, lists):
             rows = []
             for d, m in zip(ids.to_pylist(), lists.to_pylist(), strict=True):
-                for other, start, end, chain in candidates([(x["pos"], x["other"], x["other_pos"]) for x in m], min_words):
-                    before, after = chain[0][0] - start + AROUND, end - chain[-1][0] + AROUND
-                    rows.append((d, other, max(0, chain[0][1] - before), chain[-1][1] + after, np.array(chain, "<i4").tobytes()))
+                for (other, start, end), group in groupby(candidates([(x["pos"], x["other"], x["other_pos"]) for x in m], min_words), key=itemgetter(0, 1, 2)):
+                    found = [chain for *_, chain in group]
+                    lo = min(c[0][1] - (c[0][0] - start) for c in found) - AROUND
+                    hi = max(c[-1][1] + (end - c[-1][0]) for c in found) + AROUND
+                    rows.append((d, other, max(0, lo), hi, [np.array(c, "<i4").tobytes() for c in found]))
             return tuple(list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
 
         return step
 
-    wanted = map_batches(by_doc, ["id", "m"], make_chains, "d long, id long, lo long, hi long, chain binary", [("d", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("chain", pa.binary())])
+    wanted = map_batches(by_doc, ["id", "m"], make_chains, "d long, id long, lo long, hi long, chains array<binary>", [("d", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("chains", pa.list_(pa.binary()))])
     wanted = written(wanted, "chains")
 
     def make_cuts():
         last: list = [None, None]
 
-        def step(d, ids, lo, hi, chain, bodies):
+        def step(d, ids, lo, hi, found, bodies):
             cuts = []
-            for a, b, body in zip(lo.to_pylist(), hi.to_pylist(), bodies.to_pylist(), strict=True):
+            for a, b, body in zip(lo.to_pylist(), hi.to_pylist(), bodies, strict=True):
+                body = body.as_py()
                 if last[0] != body:
                     last[:] = [body, body.encode().lower().split()]
                 cuts.append(b" ".join(last[1][a:b]))
-            return d, ids, lo, chain, cuts
+            return d, ids, lo, found, cuts
 
         return step
 
-    cut = map_batches(wanted.join(texts, "id"), ["d", "id", "lo", "hi", "chain", "text"], make_cuts, "id long, other long, lo long, chain binary, cut binary", [("id", pa.int64()), ("other", pa.int64()), ("lo", pa.int64()), ("chain", pa.binary()), ("cut", pa.binary())])
+    cut = map_batches(wanted.join(texts, "id"), ["d", "id", "lo", "hi", "chains", "text"], make_cuts, "id long, other long, lo long, chains array<binary>, cut binary", [("id", pa.int64()), ("other", pa.int64()), ("lo", pa.int64()), ("chains", pa.list_(pa.binary())), ("cut", pa.binary())])
+    # a document's cuts are no more than its own regions with each of its sources
+    cuts = cut.groupBy("id").agg(F.collect_list(F.struct("other", "lo", "chains", "cut")).alias("cuts"))
 
     def make_alignments():
-        last: list = [None, None]
-
-        def step(ids, others, lo, chain, cuts, bodies):
+        def step(ids, lists, bodies):
             rows = []
-            for d, other, offset, c, b, body in zip(ids.to_pylist(), others.to_pylist(), lo.to_pylist(), chain.to_pylist(), cuts.to_pylist(), bodies.to_pylist(), strict=True):
-                if last[0] != body:
-                    last[:] = [body, body.encode().lower().split()]
-                points = np.frombuffer(c, "<i4").reshape(-1, 2).tolist()
-                start, end, other_start, other_end, same = align(last[1], b.split(), offset, points)
-                if min(end - start, other_end - other_start) >= min_words and same >= identity * max(end - start, other_end - other_start):
-                    rows.append((d, other, start, end, other_start, other_end, same))
+            for d, cuts, body in zip(ids.to_pylist(), lists, bodies, strict=True):
+                words = body.as_py().encode().lower().split()
+                for x in cuts.as_py():
+                    other, taken = x["cut"].split(), []
+                    for chain in x["chains"]:
+                        points = np.frombuffer(chain, "<i4").reshape(-1, 2).tolist()
+                        if any(a <= points[0][0] and points[-1][0] + RUN <= b for a, b in taken):
+                            continue  # within a passage of the same source
+                        start, end, other_start, other_end, same = align(words, other, x["lo"], points)
+                        if min(end - start, other_end - other_start) >= min_words and same >= identity * max(end - start, other_end - other_start):
+                            taken.append((start, end))
+                            rows.append((d, x["other"], start, end, other_start, other_end, same))
             return tuple(list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [], [], [])
 
         return step
 
     names = ["doc_id", "source_doc_id", "start", "end", "source_start", "source_end", "matched"]
-    out = map_batches(cut.join(texts, "id"), ["id", "other", "lo", "chain", "cut", "text"], make_alignments, ", ".join(f"{n} long" for n in names), [(n, pa.int64()) for n in names])
-    return out.distinct()
+    return map_batches(cuts.join(texts, "id"), ["id", "cuts", "text"], make_alignments, ", ".join(f"{n} long" for n in names), [(n, pa.int64()) for n in names]).distinct()
 
 
 def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
