@@ -1 +1 @@
-
+"""Sources and sinks: traces, configurations, run logs, tables, checkpoints and generators."""
