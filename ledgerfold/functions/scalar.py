@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: The syllables of generated last names.
 SYLLABLES = ["BAR", "OUGHT", "ABLE", "PRI", "PRES", "ESE", "ANTI", "CALLY", "ATION", "EING"]
@@ -54,7 +55,7 @@ def zipf(u: Column, n: int, theta: float) -> Column:
     return F.when(uz < 1, F.lit(0).cast("bigint")).when(uz < zeta2, F.lit(1).cast("bigint")).otherwise(F.least(rest, F.lit(n - 1)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fnv1a64(s: pd.Series) -> pd.Series:
     """FNV-1a over UTF-8 bytes, as a signed 64-bit number; null stays null. All texts advance together, byte by byte."""
     raw = [None if x is None else x.encode() for x in s]
@@ -68,7 +69,7 @@ def fnv1a64(s: pd.Series) -> pd.Series:
     return pd.Series(out.view(np.int64)).astype("Int64").mask(pd.Series([x is None for x in raw]))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def splitmix64(s: pd.Series) -> pd.Series:
     """The published SplitMix64 step of a 64-bit state."""
     z = s.fillna(0).to_numpy(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +78,7 @@ def splitmix64(s: pd.Series) -> pd.Series:
     return pd.Series((z ^ (z >> np.uint64(31))).view(np.int64)).astype("Int64").mask(s.isna().reset_index(drop=True))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def lcg48(s: pd.Series) -> pd.Series:
     """One step of the published 48-bit linear congruential generator."""
     x = s.fillna(0).to_numpy(np.int64).view(np.uint64)

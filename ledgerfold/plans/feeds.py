@@ -11,7 +11,7 @@ from ..operators.oplog import events_log, table
 from ..sources import generators, runlog, trace
 from ..streaming import oplog_stream
 from .registry import ACCESS, LOG, query
-from .transactions import WRITES
+from .transactions import writes
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -89,7 +89,7 @@ def stream_commits(spark, d):
     out, state = scratch(spark, "commits"), scratch(spark, "state")
 
     def to_log(batch):
-        return batch.select(F.col("event_id").alias("txn"), F.floor(F.col("event_id") / 100).alias("epoch"), F.col("user_id").alias("key"), F.when(WRITES, "W").otherwise("R").alias("kind"))
+        return batch.select(F.col("event_id").alias("txn"), F.floor(F.col("event_id") / 100).alias("epoch"), F.col("user_id").alias("key"), F.when(writes(), "W").otherwise("R").alias("kind"))
 
     oplog_stream.commit_in_batches(oplog_stream.events(spark, f"{d}/events.parquet"), to_log, out, state)
     return spark.read.parquet(out).groupBy("epoch").agg(F.count("*").alias("txns"), F.count(F.when(F.col("committed"), 1)).alias("committed"))

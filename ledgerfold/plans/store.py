@@ -8,8 +8,6 @@ from ..operators import access, metrics, oplog, placement
 from ..operators.oplog import events_log, table
 from .registry import LOG, STATE, query
 
-BIG = F.lit(0).cast("bigint")
-
 
 def probes(spark, keys):
     return spark.createDataFrame([(k,) for k in keys], "key long")
@@ -24,7 +22,7 @@ def kv_point_get(spark, d):
 def kv_multi_get(spark, d):
     asked = spark.range(20).select(F.col("id").alias("txn"), F.explode(F.sequence(F.col("id") * 7, F.col("id") * 7 + 9)).alias("key"))
     got = access.get(oplog.latest(events_log(spark, d)), asked, "key", ["value"])
-    return got.groupBy("txn").agg(F.count("*").alias("asked"), F.count("value").alias("found"), F.coalesce(F.sum("value"), BIG).alias("total"))
+    return got.groupBy("txn").agg(F.count("*").alias("asked"), F.count("value").alias("found"), F.coalesce(F.sum("value"), F.lit(0).cast("bigint")).alias("total"))
 
 
 @query("kv_contains", f"WITH {STATE} SELECT key FROM (SELECT unnest(range(0, 400, 3)) AS key) p WHERE key IN (SELECT key FROM state)")

@@ -8,12 +8,14 @@ from ..operators import metrics, oplog, txn
 from ..operators.oplog import events_log, table
 from .registry import ACCESS, query
 
-WRITES = F.col("event_type").isin("purchase", "signup", "error")
+
+def writes():
+    return F.col("event_type").isin("purchase", "signup", "error")
 
 
 def access_log(spark, d):
     """Every event is a transaction; its first key is the user, the second one (a read) a neighbour's."""
-    e = table(spark, d, "events").select(F.col("event_id").alias("txn"), F.floor(F.col("event_id") / 100).alias("epoch"), F.col("user_id").alias("key"), F.when(WRITES, "W").otherwise("R").alias("kind"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("txn"), F.floor(F.col("event_id") / 100).alias("epoch"), F.col("user_id").alias("key"), F.when(writes(), "W").otherwise("R").alias("kind"))
     return e
 
 
@@ -66,27 +68,27 @@ def aria_readonly_fastpath(spark, d):
 
 @query("silo_validation", "WITH e AS (SELECT event_id AS seq, user_id AS key, event_type IN ('purchase', 'signup', 'error') AS w FROM events) SELECT seq, key, EXISTS (SELECT 1 FROM e b WHERE b.key = a.key AND b.w AND b.seq > a.seq AND b.seq <= a.seq + 100) AS stale FROM e a WHERE NOT w")
 def silo_validation(spark, d):
-    return txn.stale_reads(events_log(spark, d), 100, WRITES)
+    return txn.stale_reads(events_log(spark, d), 100, writes())
 
 
 @query("lock_overlap_conflicts", "WITH h AS (SELECT event_id AS txn, user_id AS key, event_id AS s, event_id + 40 AS e, event_type IN ('purchase', 'signup', 'error') AS x FROM events) SELECT a.key, a.txn AS txn1, b.txn AS txn2 FROM h a JOIN h b ON a.key = b.key AND a.txn < b.txn AND a.e > b.s AND (a.x OR b.x)")
 def lock_overlap_conflicts(spark, d):
     log = events_log(spark, d)
-    holds = log.select(F.col("seq").alias("txn"), "key", F.col("seq").alias("start"), (F.col("seq") + 40).alias("end"), WRITES.alias("exclusive"))
+    holds = log.select(F.col("seq").alias("txn"), "key", F.col("seq").alias("start"), (F.col("seq") + 40).alias("end"), writes().alias("exclusive"))
     return txn.overlapping_locks(holds, 64)
 
 
 @query("no_wait_aborts", "WITH h AS (SELECT event_id AS txn, user_id AS key, event_id AS s, event_id + 40 AS e, event_type IN ('purchase', 'signup', 'error') AS x FROM events), p AS (SELECT DISTINCT b.txn FROM h a JOIN h b ON a.key = b.key AND a.txn < b.txn AND a.e > b.s AND (a.x OR b.x)) SELECT x AS exclusive, count(*) AS holds, count(p.txn) AS denied FROM h LEFT JOIN p USING (txn) GROUP BY x")
 def no_wait_aborts(spark, d):
     log = events_log(spark, d)
-    holds = log.select(F.col("seq").alias("txn"), "key", F.col("seq").alias("start"), (F.col("seq") + 40).alias("end"), WRITES.alias("exclusive"))
+    holds = log.select(F.col("seq").alias("txn"), "key", F.col("seq").alias("start"), (F.col("seq") + 40).alias("end"), writes().alias("exclusive"))
     denied = txn.overlapping_locks(holds, 64).select(F.col("txn2").alias("txn")).distinct().withColumn("d", F.lit(1))
     return holds.join(denied, "txn", "left").groupBy("exclusive").agg(F.count("*").alias("holds"), F.count("d").alias("denied"))
 
 
 @query("sundial_lease", "WITH e AS (SELECT event_id AS seq, user_id AS key, event_type IN ('purchase', 'signup', 'error') AS w FROM events), s AS (SELECT *, coalesce(max(CASE WHEN w THEN seq END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wts, min(CASE WHEN w THEN seq END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM e) SELECT seq, key, wts, seq + 100 > wts + 200 AS renewed, seq + 100 > wts + 200 AND coalesce(nxt <= seq + 100, false) AS failed FROM s WHERE NOT w")
 def sundial_lease(spark, d):
-    return txn.leases(events_log(spark, d), 200, WRITES)
+    return txn.leases(events_log(spark, d), 200, writes())
 
 
 @query("calvin_grant")
