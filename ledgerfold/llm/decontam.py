@@ -100,15 +100,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+RESULTS = ("n_words", "n_hit", "spans", "items", "contaminated")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document row: the id column, the columns of keep, n_words, n_hit (words within occurrences), spans (array of
-    [start, end) in words, not overlapping), items (ids found as strings, sorted as strings) and contaminated
-    (n_hit > 0)."""
+    """Per document row: the id column, the columns of keep (but for those named like a result), n_words, n_hit (words
+    within occurrences), spans (array of [start, end) in words, not overlapping), items (ids found as strings, sorted as
+    strings) and contaminated (n_hit > 0)."""
+    passed = [id_col, *(c for c in keep if c != id_col and c not in RESULTS)]
+    found = searched(docs, benchmark, passed, window, text_col, item_col, item_text_col, block_bytes)
+    return found.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(passed)), *RESULTS)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs, all columns, without the documents that hold a benchmark window."""
+    found = searched(docs, benchmark, docs.columns, window, text_col, item_col, item_text_col, block_bytes)
+    return found.where("not contaminated").select(*(f"c{k}" for k in range(len(docs.columns)))).toDF(*docs.columns)
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, passed: list[str], window: int, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
+    """The columns passed as c0, c1, ... and RESULTS."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where(F.length("t") > 0)
     total = bench.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
-    passed = [id_col, *(c for c in keep if c != id_col)]
     # names of our own, so that no column of the documents can clash
     state = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(passed)), F.col(text_col).cast("string").alias("body"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     names = [f"c{k}" for k in range(len(passed))]
@@ -139,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
         if block + 1 < blocks:
             state = written(state, "decontam")
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
-    return state.select(*(F.col(n).alias(c) for n, c in zip(names, passed)), "n_words", hit.alias("n_hit"), "spans", "items", (hit > 0).alias("contaminated"))
+    return state.withColumn("n_hit", hit).withColumn("contaminated", F.col("n_hit") > 0).select(*names, *RESULTS)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

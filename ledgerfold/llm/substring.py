@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_batches, written
 from .hashing import lower_ascii, mix, run_hashes, word_hashes
@@ -218,6 +219,21 @@ def align(a: list[bytes], b: list[bytes], offset: int, chain: list[tuple[int, in
     return start, i + n, other + offset, j + n + offset, same + more
 
 
+def passages(a: list[bytes], b: list[bytes], offset: int, chain: list[tuple[int, int]], min_words: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+    """Passages of a chain. One whose alignment has too few equal words is parted where it skips most, and each part
+    tried."""
+    out, waiting = [], [chain]
+    while waiting:
+        part = waiting.pop()
+        start, end, other_start, other_end, same = align(a, b, offset, part)
+        if min(end - start, other_end - other_start) >= min_words and same >= identity * max(end - start, other_end - other_start):
+            out.append((start, end, other_start, other_end, same))
+        elif len(part) > 1:
+            at = max(range(1, len(part)), key=lambda k: max(part[k][0] - part[k - 1][0], part[k][1] - part[k - 1][1]))
+            waiting += [part[:at], part[at:]]
+    return out
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, source_doc_id (the earlier document), start and end (words of the passage), source_start and
     source_end, and matched (equal words). Passages of one document with different sources may overlap."""
@@ -272,10 +288,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
                         points = np.frombuffer(chain, "<i4").reshape(-1, 2).tolist()
                         if any(a <= points[0][0] and points[-1][0] + RUN <= b for a, b in taken):
                             continue  # within a passage of the same source
-                        start, end, other_start, other_end, same = align(words, other, x["lo"], points)
-                        if min(end - start, other_end - other_start) >= min_words and same >= identity * max(end - start, other_end - other_start):
-                            taken.append((start, end))
-                            rows.append((d, x["other"], start, end, other_start, other_end, same))
+                        for found in passages(words, other, x["lo"], points, min_words, identity):
+                            taken.append(found[:2])
+                            rows.append((d, x["other"], *found))
             return tuple(list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [], [], [])
 
         return step
@@ -286,28 +301,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
 
 def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut out of the text column; what is around a cut is joined by a line feed. Documents
-    that have nothing left are dropped. Other columns stay as they are."""
+    of which a cut leaves nothing are dropped. Other columns stay as they are."""
     found = repeated_passages(docs, min_words, identity, id_col, text_col)
-    spans = written(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("cut_spans")).withColumnRenamed("doc_id", "cut_id"), "spans")
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("cut_id"), "left")
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    fields = [(c, to_arrow_type(docs.schema[c].dataType)) for c in docs.columns]
+    spans = written(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # of our own, so that no column can clash
     at = docs.columns.index(text_col)
+    rows = docs.toDF(*names)
+    rows = rows.join(spans, F.col(names[docs.columns.index(id_col)]).cast("long") == F.col("doc_id"), "left")
 
     def make():
         def step(*columns):
-            texts = columns[at].to_pylist()
+            texts, gone = columns[at].to_pylist(), []
             for k, spans in enumerate(columns[-1].to_pylist()):
                 if spans:
                     texts[k] = cut_out(texts[k], sorted((x["start"], x["end"]) for x in spans))
-            return *columns[:at], texts, *columns[at + 1 : -1]
+                gone.append(bool(spans) and not texts[k])
+            return *columns[:at], texts, *columns[at + 1 : -1], gone
 
         return step
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-    out = map_batches(joined, [*docs.columns, "cut_spans"], make, schema, fields)
-    return out.where(F.col(text_col).isNull() | (F.col(text_col) != "") | F.col(id_col).isNull())
+    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), "gone boolean"])
+    out = map_batches(rows, [*names, "spans"], make, schema, [*((n, to_arrow_type(rows.schema[n].dataType)) for n in names), ("gone", pa.bool_())])
+    return out.where("not gone").select(*names).toDF(*docs.columns)
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
