@@ -24,16 +24,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word (run of bytes without ASCII white space) of a text's UTF-8 bytes, in order."""
-    inside = ~SPACE[raw]
+def words_in(raw: np.ndarray, space: np.ndarray = SPACE, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (64 bits), first byte and size of each word (run of bytes that are no space) of a text's UTF-8 bytes; with
+    tail, the bytes of that kind at a word's end are a word of their own, and the last array tells which these are."""
+    inside = ~space[raw]
     at = np.flatnonzero(inside)
     if not len(at):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), at, at, np.zeros(0, bool)
+    body = raw[at]
     first = np.flatnonzero(np.diff(at, prepend=-2) > 1)  # of each word, among at
+    is_tail = np.zeros(len(first), bool)
+    if tail is not None:
+        size = np.diff(first, append=len(at))
+        last = np.maximum.reduceat(np.where(tail[body], -1, np.arange(len(at))), first)
+        cut = np.flatnonzero((last >= 0) & (last + 1 < first + size))
+        is_tail = np.insert(is_tail, cut + 1, True)
+        first = np.insert(first, cut + 1, last[cut] + 1)
     size = np.diff(first, append=len(at))
     place = np.arange(len(at)) - np.repeat(first, size)
-    return mix(np.add.reduceat((raw[at].astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()) + 1)[place], first))
+    return mix(np.add.reduceat((body.astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()) + 1)[place], first)), at[first], size, is_tail
+
+
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hashes of a text's words, in order; words end at ASCII white space."""
+    return words_in(raw)[0]
 
 
 def run_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -2,8 +2,8 @@
 
 write_ids(docs, path) encodes whole texts, ends each document with an end id, and writes them in ascending id order as
 a table of shards; read_ids(spark, path) gives the documents back, each with the number of ids before it. The rows are
-dealt out by ranges of the id, sorted in each task, and cut into shards of about `shard_ids` ids (a document is never
-cut). In a shard, frequent neighbouring pairs become nonterminals, round by round, the most frequent first where two
+dealt out by ranges of the id, sorted in each task, and cut into shards of about `shard_ids` ids (texts go in
+batches of about `chars` characters, and neither a batch nor a document is cut). In a shard, frequent neighbouring pairs become nonterminals, round by round, the most frequent first where two
 overlap; end ids are never part of a pair, so a document's symbols stay together and can be read alone.
 
 File format: Parquet, a row for each shard: part and shard (the order), part_start (ids before the shard in its part),
@@ -19,7 +19,6 @@ parts as the shuffle has) is gathered, to find where each part starts.
 from __future__ import annotations
 
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import per_worker, tokenizer_path
+from .hashing import words_in
 
 END_ID, SHARD_IDS, ROUNDS, LEAST = 1, 1 << 20, 4, 4
-#: A word of letters that normalise to themselves or their lower case may have ASCII signs after it. The tokenizer splits
-#: between the two, whatever stands around them.
-SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: A word may have ASCII signs after it. Where it ends in a letter that normalises to itself or its lower case, or in a
+#: digit, the tokenizer splits between the two, whatever stands around them.
+SIGNS = np.zeros(256, bool)
+SIGNS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+SAFE_END = re.compile(r".*[0-9A-Za-zÀ-ÖØ-öø-ÿ]", re.S).fullmatch
 
 SHARD_SCHEMA = "part int, shard int, part_start long, n_tokens long, doc_ids array<long>, doc_at binary, doc_tokens binary, rules binary, rule_tokens binary, symbols binary, base int, width int"
 SHARD_FIELDS = pa.schema(
@@ -41,68 +43,113 @@ SHARD_FIELDS = pa.schema(
 )
 
 
+#: Where runs end: space and line feed. No piece of the tokenizer goes across either.
+BREAKS = np.zeros(256, bool)
+BREAKS[[10, 32]] = True
+
+
 class WordIds:
-    """Ids of whole texts by the tokenizers library. Its splitting ends every piece at white space, so each distinct
-    space-separated run is encoded once and kept; the ids are those of the whole text. New words of a batch go to the
-    library in one text, where each word's last id tells where it ends. At most `limit` runs and four times
-    as many words are kept beside those of the batch at hand."""
+    """Ids of whole texts by the tokenizers library. Its splitting ends every piece at white space, and between a word
+    and the signs behind it, so the ids of a text are those of these pieces, and each is encoded once and kept: in a
+    table with one place for each hash value of `bits` bits, where a later piece takes the place of an earlier one. A
+    piece is known by a 64-bit hash, its size and its first eight bytes. New words of a batch go to the library in one
+    text, where each word's last id tells where it ends."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, bits: int = 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size, self.limit = self.tokenizer.get_vocab_size(with_added_tokens=True), limit
+        self.size, self.bits = self.tokenizer.get_vocab_size(with_added_tokens=True), np.uint64(64 - bits)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
-        self.runs: dict[str, bytes] = {"": b""}
-        self.signs: dict[str, bytes] = {"": b""}
-        self.known: dict[str, bytes] = {}
-        self.most_words = 4 * limit
-
-    def library(self, run: str) -> bytes:
-        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
-
-    def words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(cuts) != len(words):
-            return {w: self.library(w) for w in words}
-        raw = ids.tobytes()
-        return dict(zip(words, [raw[i:j] for i, j in zip([0, *cuts], cuts)]))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        used = set().union(*parts)
-        new = used - self.runs.keys()
-        if len(self.runs) + len(new) > self.limit:
-            self.runs = {r: self.runs[r] for r in used - new} | {"": b""}
-        split = []
-        for run in new:
-            word = run.rstrip(SIGNS)
-            if word.isalpha() and (word.isascii() or LATIN(word)):
-                split.append((run, word.lower(), run[len(word) :]))
-            else:
-                self.runs[run] = self.library(run)
-        if split:
-            fresh = list({w for _, w, _ in split} - self.known.keys())
-            if len(self.known) > self.most_words:
-                self.known = {w: self.known[w] for _, w, _ in split if w in self.known}
-            words, signs = self.known, self.signs
-            words.update(self.words(fresh) if fresh else {})
-            for run, word, tail in split:
-                if tail not in signs:
-                    if len(signs) > 10_000:
-                        signs = self.signs = {"": b""}
-                    signs[tail] = self.library(tail)
-                self.runs[run] = words[word] + signs[tail]
-        get = self.runs.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-
-def batches_of(texts: list[str | None], chars: int = 1 << 21):
+        n = 1 << bits
+        self.hash, self.head, self.bytes = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32)
+        self.at, self.count, self.safe = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, bool)
+        self.pool, self.used = np.zeros(8 * n, np.uint32), 0
+
+    def library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, where each piece's begin, and how many they are. Words of letters come first among the ids."""
+        plain = np.array([p.isalpha() and (p.isascii() or LATIN(p) is not None) for p in pieces], bool)
+        words, rest = [p for p, w in zip(pieces, plain) if w], [p for p, w in zip(pieces, plain) if not w]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids if words else [], np.uint32)
+        counts = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(counts) != len(words):
+            each = [self.library(w) for w in words]
+            ids, counts = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+        each = [self.library(r) for r in rest]
+        size = np.zeros(len(pieces), np.int64)
+        size[plain], size[~plain] = counts, [len(x) for x in each]
+        at = np.zeros(len(pieces), np.int64)
+        at[plain] = np.cumsum(counts) - counts
+        at[~plain] = len(ids) + np.cumsum(size[~plain]) - size[~plain]
+        return np.concatenate([ids, np.array([i for x in each for i in x], np.uint32)]), at, size
+
+    def room(self, n: int, slot, hashes, heads, size, at, count, safe) -> None:
+        """Makes room for n ids. If there is none, all is forgotten but the pieces given, whose places move."""
+        if self.used + n <= len(self.pool):
+            return
+        old = self.pool[spread(at, count)]
+        self.hash[:] = 0
+        self.pool = np.zeros(max(len(self.pool), 2 * (len(old) + n)), np.uint32)
+        self.pool[: len(old)], self.used = old, len(old)
+        at[:] = np.cumsum(count) - count
+        self.put(slot, hashes, heads, size, at, count, safe)
+
+    def put(self, slot, hashes, heads, size, at, count, safe) -> None:
+        self.hash[slot], self.head[slot], self.bytes[slot], self.at[slot], self.count[slot], self.safe[slot] = hashes, heads, size, at, count, safe
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        parts = [t.encode() if t else b"" for t in texts]
+        raw = b"\n".join(parts)
+        special = b"<|" in raw  # special tokens are looked for in the text as it is
+        raw = raw if special else raw.lower()  # A-Z; the tokenizer does so too, later
+        hashes, start, size, tail = words_in(np.frombuffer(raw, np.uint8), BREAKS, None if special else SIGNS)
+        heads = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))[start]
+        heads &= np.where(size < 8, (np.uint64(1) << (size.astype(np.uint64) * np.uint64(8) & np.uint64(63))) - np.uint64(1), ~np.uint64(0))
+        slot = (hashes >> self.bits).astype(np.int64)
+        known = (self.hash[slot] == hashes) & (self.head[slot] == heads) & (self.bytes[slot] == size)
+        at, count, safe = self.at[slot], self.count[slot].astype(np.int64), self.safe[slot]
+        new = np.flatnonzero(~known)
+        if len(new):
+            _, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            first = new[first]
+            found = [raw[i : i + n].decode() for i, n in zip(start[first].tolist(), size[first].tolist())]
+            ids, places, counts = self.pieces(found)
+            fine = np.array([p[-1:].isalnum() if p.isascii() else bool(SAFE_END(p)) for p in found])
+            keep = np.flatnonzero(known)
+            moved = at[keep]
+            self.room(len(ids), slot[keep], hashes[keep], heads[keep], size[keep], moved, count[keep], safe[keep])
+            at[keep] = moved
+            self.pool[self.used : self.used + len(ids)] = ids
+            places += self.used
+            self.used += len(ids)
+            self.put(slot[first], hashes[first], heads[first], size[first], places, counts, fine)
+            at[new], count[new], safe[new] = places[which], counts[which], fine[which]
+        joined = np.flatnonzero(tail[1:] & ~safe[:-1])  # signs that the tokenizer may not split off: both as one
+        more = [self.library(raw[start[k] : start[k + 1] + size[k + 1]].decode()) for k in joined]
+        extra = np.array([i for x in more for i in x], np.uint32)
+        count[joined + 1], count[joined] = 0, [len(x) for x in more]
+        pool = self.pool
+        if len(extra):
+            pool = np.concatenate([self.pool[: self.used], extra])
+            at[joined] = self.used + np.cumsum(count[joined]) - count[joined]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ends = total[np.searchsorted(start, np.cumsum([len(p) + 1 for p in parts]))]
+        return pool[spread(at, count)], np.diff(ends, prepend=0)
+
+
+def spread(at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Indices of pieces of `count` items from `at` on, laid one after another."""
+    begin = np.cumsum(count, dtype=np.int64) - count
+    return np.repeat(at - begin, count) + np.arange(int(count.sum()))
+
+
+def batches_of(texts: list[str | None], chars: int = 1 << 18):
     """Ranges of texts with about so many characters; a longer text is a range of its own."""
     start = n = 0
     for k, t in enumerate(texts):
@@ -191,13 +238,13 @@ class Grammar:
         return self.blob[np.repeat(self.offset[symbols] - start, size) + np.arange(int(size.sum()))]
 
 
-def pack(part: int, shard: int, part_start: int, doc_ids: list, coded: list[bytes], base: int, end_id: int) -> pa.RecordBatch:
-    tail = np.array([end_id], "<u4").tobytes()
-    ids = np.frombuffer(b"".join(x + tail for x in coded), "<u4")
+def pack(part: int, shard: int, part_start: int, doc_ids: list, ids: np.ndarray, counts: np.ndarray, base: int, end_id: int) -> pa.RecordBatch:
+    """A shard of documents' ids and how many each has, its end ids not yet among them."""
+    ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
     symbols, rules = compress(ids, base, end_id)
     ends = np.flatnonzero(symbols == end_id)
-    tokens = np.array([len(x) // 4 + 1 for x in coded], "<u4")
-    if len(ends) != len(coded):  # a text has the end id itself: keep the shard as it is
+    tokens = (counts + 1).astype("<u4")
+    if len(ends) != len(counts):  # a text has the end id itself: keep the shard as it is
         symbols, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
         ends = np.cumsum(tokens.astype(np.int64)) - 1
     size = Grammar(rules, base).size[base:]
@@ -206,7 +253,7 @@ def pack(part: int, shard: int, part_start: int, doc_ids: list, coded: list[byte
     return pa.RecordBatch.from_pylist([row], schema=SHARD_FIELDS)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, chars: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the documents' ids under path (a folder all executors can reach)."""
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
@@ -214,20 +261,27 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
     def run(batches):
         part, shard, start = TaskContext.get().partitionId(), 0, 0
-        words, doc_ids, coded, n = None, [], [], 0
+        words, doc_ids, ids, counts, n = None, [], [], [], 0
+
+        def packed():
+            nonlocal shard, start, doc_ids, ids, counts, n
+            out = pack(part, shard, start, doc_ids, np.concatenate(ids), np.concatenate(counts), words.size, end_id)
+            shard, start, doc_ids, ids, counts, n = shard + 1, start + n, [], [], [], 0
+            return out
+
         for batch in batches:
             words = words or per_worker(("words", tokenizer), lambda: WordIds(tokenizer))
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for span in batches_of(texts):
-                for k, raw in zip(span, words.encode(texts[span.start : span.stop]), strict=True):
-                    doc_ids.append(ids[k])
-                    coded.append(raw)
-                    n += len(raw) // 4 + 1
-                    if n >= shard_ids:
-                        yield pack(part, shard, start, doc_ids, coded, words.size, end_id)
-                        shard, start, doc_ids, coded, n = shard + 1, start + n, [], [], 0
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for span in batches_of(texts, chars):
+                got, count = words.encode(texts[span.start : span.stop])
+                doc_ids += keys[span.start : span.stop]
+                ids.append(got)
+                counts.append(count)
+                n += len(got) + len(count)
+                if n >= shard_ids:
+                    yield packed()
         if doc_ids:
-            yield pack(part, shard, start, doc_ids, coded, words.size, end_id)
+            yield packed()
 
     rows.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 

@@ -190,12 +190,14 @@ def test_repair_round_trip():
 
 
 def test_words_equal_the_library():
-    rng, coder = random.Random(6), repair.WordIds(tokenizer_path("word_bpe_49k.json"), limit=50)
+    rng, coder = random.Random(6), repair.WordIds(tokenizer_path("word_bpe_49k.json"), bits=5)
     letters = "aaabceht  \n\t'sr<|endoftext|><|startoftext|>éßñ字١½\x85\x1c 　​0123!?*#İſΣ\u0301"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) + rng.choice(["", "<|endoftext|>", "abc.'s", "it's.", " The end."]) for _ in range(3000)]
     for span in repair.batches_of(texts, 300):
-        for t, raw in zip(texts[span.start : span.stop], coder.encode(texts[span.start : span.stop])):
-            assert np.frombuffer(raw, "<u4").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, t
+        ids, counts = coder.encode(texts[span.start : span.stop])
+        for t, own in zip(texts[span.start : span.stop], np.split(ids, np.cumsum(counts)[:-1])):
+            assert own.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert [x.tolist() for x in coder.encode([None, "", "\n \n"])] == [[], [0, 0, 0]]
 
 
 @pytest.mark.parametrize("shard_ids", [1 << 19, 40])
@@ -205,7 +207,7 @@ def test_files_read_back(spark, tmp_path, shard_ids):
     lib = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     docs = odd_documents(spark)
     path = str(tmp_path / "ids")
-    repair.write_ids(docs, path, shard_ids=shard_ids)
+    repair.write_ids(docs, path, shard_ids=shard_ids, chars=shard_ids)
     got = repair.read_ids(spark, path).orderBy("start").collect()
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     start = 0
