@@ -177,7 +177,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THR
 
 
 def crossing(members: DataFrame, common: DataFrame, texts: DataFrame, found: DataFrame, shingle: int, threshold: float, sets: DataFrame) -> DataFrame:
-    """Pairs of different components that a short list shows, or a long one and the bounds allow; sifted by sketches."""
+    """Pairs of different components that a short list shows and the sketches allow, or a long one shows and the bounds
+    allow (closer than sketches could tell)."""
     label = found.withColumnRenamed("node", "id").withColumnRenamed("component", "c")
 
     def labelled(rows: DataFrame) -> DataFrame:
@@ -234,4 +235,4 @@ def crossing(members: DataFrame, common: DataFrame, texts: DataFrame, found: Dat
     rows = written(cells.join(bounds, ["p", "id"]), "bounds")
     differ = F.col("own") + F.col("own1") + F.abs(F.col("with_p") - F.col("with_p1"))
     long_pairs = across(rows, "p", differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n1")) + 1e-6)
-    return alike(short.unionByName(long_pairs).distinct(), sets, threshold)
+    return alike(short, sets, threshold).unionByName(long_pairs).distinct()
