@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op7_decontaminate": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op2_minhash": minhash.ORACLE, "op7_decontaminate": decontam.ORACLE}

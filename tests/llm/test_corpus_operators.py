@@ -274,3 +274,31 @@ def test_stages_take_odd_rows(spark, tmp_path):
             state = stage(spark, state, folder)
             assert state.columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, state, folder).count()
+
+
+# --- queries against SQL ---
+
+
+def test_queries_match_their_sql(spark):
+    import duckdb
+
+    from ledgerfold.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        got, want = queries.QUERIES[name](spark, data).toPandas(), con.execute(sql).df()
+        rows = lambda df: sorted(map(str, df[sorted(df.columns)].itertuples(index=False, name=None)))
+        assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_every_query_runs_whole(spark):
+    from ledgerfold.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    docs, pages = (spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("documents", "pages"))
+    for name, query in queries.QUERIES.items():
+        n = query(spark, data).count()
+        assert n == (pages if name in ("op5_urls", "op8_html") else docs) or (name in ("op1_substring", "pipeline") and 0 < n < docs), name
