@@ -30,6 +30,7 @@ from .common import per_worker, tokenizer_path
 from .hashing import words_in
 
 END_ID, SHARD_IDS, ROUNDS, LEAST = 1, 1 << 20, 4, 4
+DOCS_A_BATCH = 1000
 #: A word may have ASCII signs after it. Where it ends in a letter that normalises to itself or its lower case, or in a
 #: digit, the tokenizer splits between the two, whatever stands around them.
 SIGNS = np.zeros(256, bool)
@@ -149,7 +150,7 @@ def spread(at: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(at - begin, count) + np.arange(int(count.sum()))
 
 
-def batches_of(texts: list[str | None], chars: int = 1 << 18):
+def batches_of(texts: list[str | None], chars: int = 1 << 17):
     """Ranges of texts with about so many characters; a longer text is a range of its own."""
     start = n = 0
     for k, t in enumerate(texts):
@@ -174,7 +175,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID, rounds: int = ROU
         if len(seq) < 2 or made >= most_rules:
             break
         pair = (seq[:-1] << half) | seq[1:]
-        slot = ((pair.astype(np.uint32) if small else (pair ^ (pair >> np.uint64(29))).astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int32)
+        slot = ((pair.astype(np.uint32) if small else (pair ^ (pair >> np.uint64(29))).astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.intp)
         ends = np.flatnonzero(seq == end_id)
         slot[ends[ends < len(slot)]] = 0
         slot[ends[ends > 0] - 1] = 0
@@ -182,17 +183,19 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID, rounds: int = ROU
         holder[slot] = pair
         count = np.bincount(slot, minlength=1 << 20)
         count[0] = 0
-        at = np.flatnonzero((count >= bar)[slot])
-        at = at[holder[slot[at]] == pair[at]]
-        count = np.bincount(slot[at], minlength=1 << 20)
+        at = np.flatnonzero(np.take(count >= bar, slot))
+        own = slot[at]
+        mine = np.take(holder, own) == pair[at]
+        at, own = at[mine], own[mine]
+        count = np.bincount(own, minlength=1 << 20)
         often = np.flatnonzero(count >= bar)
         often = often[np.argsort(-count[often], kind="stable")][: most_rules - made]
         if not len(often):
             continue
         urgency = np.zeros(1 << 20, np.int32)
         urgency[often] = np.arange(len(often), 0, -1)
-        at = at[urgency[slot[at]] > 0]
-        value = urgency[slot[at]]
+        value = np.take(urgency, own)
+        at, own, value = at[value > 0], own[value > 0], value[value > 0]
         # where pairs overlap (they begin at neighbouring places): of one pair again and again (x x x) every second
         # place, else the more urgent one
         touch = np.diff(at) == 1
@@ -203,7 +206,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID, rounds: int = ROU
         head = np.maximum.accumulate(np.where(same, 0, place))
         take = (value > np.where(same, 0, left)) & (value >= right) & ((place - head) % 2 == 0)
         take[1:] &= ~(take[:-1] & touch)
-        spot, chosen = at[take], slot[at[take]]
+        spot, chosen = at[take], own[take]
         used = np.zeros(1 << 20, bool)
         used[chosen] = True
         new = np.flatnonzero(used)
@@ -253,7 +256,7 @@ def pack(part: int, shard: int, part_start: int, doc_ids: list, ids: np.ndarray,
     return pa.RecordBatch.from_pylist([row], schema=SHARD_FIELDS)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, chars: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, chars: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the documents' ids under path (a folder all executors can reach)."""
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
@@ -317,11 +320,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 grammar, symbols, _, tokens = unpacked(row)
                 ids = grammar.expand(symbols.astype(np.int64))
-                ends = np.cumsum(tokens.astype(np.int64))
-                raw = memoryview(ids.astype("<u4").tobytes())
-                starts = ends - tokens
-                for lo in range(0, len(ends), 1000):
-                    span = range(lo, min(lo + 1000, len(ends)))
-                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][lo : span.stop], pa.int64()), pa.array(starts[lo : span.stop] + row["part_start"] + row["before"], pa.int64()), pa.array(tokens[lo : span.stop].astype(np.int64)), pa.array([bytes(raw[4 * starts[k] : 4 * ends[k]]) for k in span], pa.binary())], schema=fields)
+                bounds = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
+                for lo in range(0, len(tokens), DOCS_A_BATCH):
+                    hi = min(lo + DOCS_A_BATCH, len(tokens))
+                    own = ids[bounds[lo] : bounds[hi]]
+                    offsets = (4 * (bounds[lo : hi + 1] - bounds[lo])).astype(np.int32)
+                    raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(own, "<u4"))])
+                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][lo:hi], pa.int64()), pa.array(bounds[lo:hi] + (row["part_start"] + row["before"])), pa.array(tokens[lo:hi].astype(np.int64)), raw], schema=fields)
 
     return shards.join(F.broadcast(parts), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
