@@ -14,8 +14,9 @@ smallest values, and the first `KEYS` of them are its keys.
    on the two sets' difference allow: shingles that no other component has, and how many each shares with the list's
    smallest class. Members of a list's largest component are compared with outsiders only.
 
-A pair at the threshold shares no key with a chance below (1 - threshold) ** KEYS; the estimate drops one that is
-SLACK above its line, more than six standard deviations away. Nothing else is left out.
+What chance may lose, for a pair right at the threshold: it shares no key ((1 - threshold) ** KEYS); the estimate is SLACK
+too low (more than six standard deviations); all its shared keys are in long lists and they are fewer than `enough`
+(chances of 2.5e-4 at 0.8, 1.6e-4 at 0.85), which matters only if no third text joins the two. Nothing else is left out.
 
 Words are runs of non-white-space with A-Z in lower case; a text of fewer words than a shingle is one shingle, one
 without words is empty and linked with nothing. Rows are judged by their text: repeated rows are copies of each other,
