@@ -57,7 +57,7 @@ class BacktrackingBpe:
             a, b, made = vocab[a], vocab[b], vocab[a + b]
             self.rank[a, b] = r
             self.born[made], self.parts[made] = r, (a, b)
-        self.pairs = PieceCache(lambda ab: self.stays(*ab), 500_000)
+        self.pairs = PieceCache(lambda ab: self.stays(*ab), 200_000)
         whole = [self.bytes[i] and i not in self.special.values() for i in range(n)]
         for i in sorted((i for i in range(n) if self.parts[i]), key=self.born.__getitem__):
             a, b = self.parts[i]
@@ -72,7 +72,7 @@ class BacktrackingBpe:
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.split = regex.compile(PIECES).findall
-        self.cache = PieceCache(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes())
+        self.cache = PieceCache(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes(), 150_000)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
 
     def stays(self, left: int, right: int, until: int = NEVER) -> bool:

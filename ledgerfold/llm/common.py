@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The tokenizer files live outside the repository; callers may pass any other path.
 TOKENIZER_DIR = "/opt/tokenizers"
+#: Rows that become Python objects at once.
+ROWS = 1000
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,16 +51,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
-    """Runs make()(list of Arrow columns) -> list of Arrow columns over the batches of df.select(columns).
+    """Runs make()(Arrow columns) -> columns over slices of at most ROWS rows of the batches of df.select(columns).
     make runs once in each task, so tables are built (or found in the worker) there and nothing large is pickled."""
     out = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
-            if batch.num_rows:
+            for start in range(0, batch.num_rows, ROWS):
                 step = step or make()
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(step(*batch.columns), out, strict=True)], schema=out)
+                columns = step(*batch.slice(start, ROWS).columns)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
 

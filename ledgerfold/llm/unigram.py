@@ -18,6 +18,7 @@ have no tokens and score 0. Null ids and repeated rows stay rows of their own. E
 from __future__ import annotations
 
 import re
+from array import array
 
 import ahocorasick
 import pyarrow as pa
@@ -43,25 +44,26 @@ class UnigramCounter:
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.cache = PieceCache(self.best, 250_000)
+        self.cache = PieceCache(self.best, 150_000)
 
     def best(self, cut: str) -> tuple[int, float]:
         """Number of tokens and score of the best path through a cut."""
         n = len(cut)
-        score, count, known = [None] * (n + 1), [0] * (n + 1), bytearray(n + 1)
-        score[0] = 0.0
-        found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(cut):
-            found[end + 1].append(match)
-            if match[0] == 1:
-                known[end + 1] = 1
+        score, count = array("d", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1)))
+        matches = iter(self.automaton.iter(cut))
+        match = next(matches, None)
         for end in range(1, n + 1):
+            here = []
+            while match and match[0] == end - 1:
+                here.append(match[1])
+                match = next(matches, None)
+            here.sort(reverse=True)  # the earliest start first
             top, pieces = None, 0
-            for size, gain in sorted(found[end], reverse=True):  # the earliest start first
+            for size, gain in here:
                 s = score[end - size] + gain
                 if top is None or s > top:
                     top, pieces = s, count[end - size] + 1
-            if not known[end]:
+            if not here or here[-1][0] > 1:  # no piece of this one character
                 s = score[end - 1] + self.unknown
                 if top is None or s > top:
                     top, pieces = s, count[end - 1] + len(cut[end - 1].encode())
