@@ -65,8 +65,8 @@ class WordIds:
         self.size, self.bits = self.tokenizer.get_vocab_size(with_added_tokens=True), np.uint64(64 - bits)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
         n = 1 << bits
-        self.hash, self.head, self.bytes = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32)
-        self.at, self.count, self.safe = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, bool)
+        # a row is one line of memory: hash, first bytes, place in the pool, and size, safety and number of ids as one
+        self.table = np.zeros((n, 4), np.uint64)
         self.pool, self.used = np.zeros(8 * n, np.uint32), 0
 
     def library(self, text: str) -> list[int]:
@@ -94,14 +94,17 @@ class WordIds:
         if self.used + n <= len(self.pool):
             return
         old = self.pool[spread(at, count)]
-        self.hash[:] = 0
+        self.table[:] = 0
         self.pool = np.zeros(max(len(self.pool), 2 * (len(old) + n)), np.uint32)
         self.pool[: len(old)], self.used = old, len(old)
         at[:] = np.cumsum(count) - count
         self.put(slot, hashes, heads, size, at, count, safe)
 
     def put(self, slot, hashes, heads, size, at, count, safe) -> None:
-        self.hash[slot], self.head[slot], self.bytes[slot], self.at[slot], self.count[slot], self.safe[slot] = hashes, heads, size, at, count, safe
+        fits = np.flatnonzero(count < 1 << 24)  # a longer piece is encoded anew each time
+        slot, hashes, heads, size, at, count, safe = (x[fits] for x in (slot, hashes, heads, size, at, count, safe))
+        rest = (size.astype(np.uint64) << np.uint64(25)) | (safe.astype(np.uint64) << np.uint64(24)) | np.asarray(count, np.uint64)
+        self.table[slot] = np.column_stack([hashes, heads, at.astype(np.uint64), rest])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
@@ -113,8 +116,10 @@ class WordIds:
         heads = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))[start]
         heads &= np.where(size < 8, (np.uint64(1) << (size.astype(np.uint64) * np.uint64(8) & np.uint64(63))) - np.uint64(1), ~np.uint64(0))
         slot = (hashes >> self.bits).astype(np.int64)
-        known = (self.hash[slot] == hashes) & (self.head[slot] == heads) & (self.bytes[slot] == size)
-        at, count, safe = self.at[slot], self.count[slot].astype(np.int64), self.safe[slot]
+        rows = np.take(self.table, slot, axis=0)
+        rest = rows[:, 3].astype(np.int64)
+        known = (rows[:, 0] == hashes) & (rows[:, 1] == heads) & (rest >> 25 == size)
+        at, count, safe = rows[:, 2].astype(np.int64), rest & 0xFFFFFF, (rest >> 24) & 1 == 1
         new = np.flatnonzero(~known)
         if len(new):
             _, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
