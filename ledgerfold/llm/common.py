@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import to_workers
+
 #: The tokenizer files live outside the repository; callers may pass any other path.
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Rows that become Python objects at once.
@@ -54,6 +56,7 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable],
     """Runs make()(Arrow columns) -> columns over slices of at most ROWS rows of the batches of df.select(columns).
     make runs once in each task, so tables are built (or found in the worker) there and nothing large is pickled."""
     out = pa.schema(fields)
+    to_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None

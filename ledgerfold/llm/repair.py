@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import to_workers
 from .common import per_worker, tokenizer_path
 from .hashing import words_in
 
@@ -263,6 +264,7 @@ def pack(part: int, shard: int, part_start: int, doc_ids: list, ids: np.ndarray,
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, chars: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the documents' ids under path (a folder all executors can reach)."""
+    to_workers(docs.sparkSession)
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
     rows = rows.repartitionByRange("d").sortWithinPartitions("d", "t")
@@ -314,6 +316,7 @@ def tokens_of(row: dict, k: int, first: int = 0, last: int | None = None) -> np.
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (binary, little-endian unsigned 32-bit) of each document written."""
+    to_workers(spark)
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
