@@ -11,7 +11,12 @@ word by word or with small changes; without_passages(docs) cuts them out, so tha
 3. A document's matches with one earlier document are chained: in order in both, each step paying for the words it
    skips, the best predecessor found by a Fenwick tree of prefix maxima. Chains count where the document's matches,
    with whatever documents, lie close enough together to be part of a passage.
-4. Chains are aligned word by word: matches at their ends are carried on, gaps between seeds are aligned with the
+4. Of a seed only the first owner is known, so earlier documents that each have less than `min_words` words of a
+   passage could hide a later one that has all of it. Therefore every window of `min_words` words whose seeds all occur
+   in two documents or more is joined with its own first occurrence too. A window that two documents share has no other
+   seeds, so every word by word repeat of `min_words` words is found, whatever else has parts of it. Windows in a row
+   with one source are a chain; of chains that overlap, the fewest that cover the same words are kept.
+5. Chains are aligned word by word: matches at their ends are carried on, gaps between seeds are aligned with the
    fewest edits, and what has `min_words` words and `identity` of them equal is a passage.
 
 Words are runs of non-white-space, compared with A-Z in lower case. Null and empty texts have no passages; rows without
@@ -95,6 +100,81 @@ def seed_table(docs: DataFrame) -> DataFrame:
     return map_batches(docs, ["id", "text"], make, "h long, id long, pos int, owner long", [("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("owner", pa.int64())])
 
 
+def windows_of(text: str | None, shared: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (63 bits) and word positions of the windows of `size` words all of whose seeds are among `shared`. Only seeds
+    that the window's own words decide count, as first occurrences in their text (which every text that has the seed
+    has)."""
+    words = word_hashes(lower_ascii(text)) if text else np.zeros(0, np.uint64)
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = size - RUN - WINDOW + 2
+    at = np.arange(n)
+    if inside > 0:
+        least = sliding(mix(run_hashes(words, RUN)), WINDOW, np.minimum) >> np.uint64(1)
+        other = np.concatenate([[0], np.cumsum(~np.isin(least.astype(np.int64), shared))])
+        at = np.flatnonzero(other[inside : inside + n] == other[:n])
+        if not len(at):
+            return np.zeros(0, np.int64), at
+    have, powers, done, out = 1, words, 0, np.zeros(len(words), np.uint64)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        while done < size:  # by doubling: powers has the hashes of runs of `have` words, out those of `done` words
+            if size & have:
+                out = out[: len(words) - done - have + 1] * np.power(base, np.uint64(have)) + powers[done : len(words) - have + 1]
+                done += have
+            if done < size:
+                powers = powers[:-have] * np.power(base, np.uint64(have)) + powers[have:]
+                have *= 2
+    return (mix(out[at]) >> np.uint64(1)).astype(np.int64), at
+
+
+def window_table(docs: DataFrame, size: int) -> DataFrame:
+    """h, id, pos and owner, as in seed_table, of the windows of `size` words. docs: id, text and shared."""
+
+    def make():
+        def step(ids, texts, shared):
+            found = []
+            for text, own in zip(texts, shared, strict=True):
+                found.append(windows_of(text.as_py(), own.values.to_numpy() if own.is_valid else np.zeros(0, np.int64), size))
+            count = [len(h) for h, _ in found]
+            first = []
+            for h, _ in found:
+                mark = np.zeros(len(h), bool)
+                mark[np.unique(h, return_index=True)[1]] = True
+                first.append(mark)
+            own = np.repeat(ids.to_numpy(zero_copy_only=False), count)
+            h, pos, mark = np.concatenate([h for h, _ in found]), np.concatenate([p for _, p in found]), np.concatenate(first)
+            return pa.array(h, pa.int64()), pa.array(own, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(own, pa.int64(), mask=~mark)
+
+        return step
+
+    return map_batches(docs, ["id", "text", "shared"], make, "h long, id long, pos int, owner long", [("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("owner", pa.int64())])
+
+
+def runs_of(matches: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, earlier document, start there) of the fewest runs of windows that cover what all windows cover.
+    matches: (pos, earlier document, its pos), one for each window."""
+    runs: list[tuple[int, int, int, int]] = []
+    for p, other, q in sorted(set(matches)):
+        if runs:
+            start, end, source, there = runs[-1]
+            if other == source and end == p + size - 1 and q - there == p - start:
+                runs[-1] = (start, p + size, source, there)
+                continue
+        runs.append((p, p + size, other, q))
+    out, end, i = [], -1, 0
+    while i < len(runs):
+        end, best = max(end, runs[i][0]), runs[i]
+        while i < len(runs) and runs[i][0] <= end:
+            best = max(best, runs[i], key=itemgetter(1))
+            i += 1
+        if best[1] > end:
+            out.append(best)
+            end = best[1]
+    return out
+
+
 class PrefixMaxima:
     """Fenwick tree: the best (value, index) at places up to one."""
 
@@ -238,17 +318,32 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     """Rows doc_id, source_doc_id (the earlier document), start and end (words of the passage), source_start and
     source_end, and matched (equal words). Passages of one document with different sources may overlap."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull() & (F.col("text") != ""))
-    seeds = seed_table(texts)
-    first = seeds.groupBy("h").agg(F.min("id").alias("other"), F.max("id").alias("last"), F.min_by("pos", "owner").alias("other_pos")).where(F.col("other") != F.col("last")).drop("last")
-    matches = seeds.select("h", "id", "pos").join(first, "h").where(F.col("id") != F.col("other"))
-    by_doc = matches.groupBy("id").agg(F.collect_list(F.struct("pos", "other", "other_pos")).alias("m"))
+    earlier = F.when(F.col("id") != F.col("other"), F.struct("pos", "other", "other_pos"))
+
+    def met(places):
+        first = places.groupBy("h").agg(F.min("id").alias("other"), F.max("id").alias("last"), F.min_by("pos", "owner").alias("other_pos")).where(F.col("other") != F.col("last")).drop("last")
+        return places.select("h", "id", "pos").join(first, "h")
+
+    by_doc = met(seed_table(texts)).groupBy("id").agg(F.collect_list(earlier).alias("m"), F.collect_set("h").alias("shared"))
+    by_doc = written(by_doc, "seeds")
+    size = max(min_words, RUN)
+    # below RUN + WINDOW - 1 words a window need not have a seed
+    windows = window_table(texts.join(by_doc.select("id", "shared"), "id", "inner" if size >= RUN + WINDOW - 1 else "left"), size)
+    whole = met(windows).where(F.col("id") != F.col("other")).groupBy("id").agg(F.collect_list(F.struct("pos", "other", "other_pos")).alias("w"))
+    by_doc = by_doc.select("id", "m").join(whole, "id", "full")
 
     def make_chains():
-        def step(ids, lists):
+        def step(ids, lists, windows):
             rows = []
-            for d, m in zip(ids.to_pylist(), lists.to_pylist(), strict=True):
-                for (other, start, end), group in groupby(candidates([(x["pos"], x["other"], x["other_pos"]) for x in m], min_words), key=itemgetter(0, 1, 2)):
+            for d, m, w in zip(ids.to_pylist(), lists.to_pylist(), windows.to_pylist(), strict=True):
+                regions = candidates([(x["pos"], x["other"], x["other_pos"]) for x in m], min_words) if m else []
+                runs = runs_of([(x["pos"], x["other"], x["other_pos"]) for x in w], size) if w else []
+                for p, e, other, q in runs:
+                    start, end = next(((a, b) for _, a, b, _ in regions if a < e and p < b), (p, e))
+                    regions.append((other, start, end, [(p, q), (e - RUN, q + e - RUN - p)]))
+                for (other, start, end), group in groupby(sorted(regions, key=itemgetter(0, 1, 2)), key=itemgetter(0, 1, 2)):
                     found = [chain for *_, chain in group]
+                    start, end = min(start, *(c[0][0] for c in found)), max(end, *(c[-1][0] + RUN for c in found))
                     lo = min(c[0][1] - (c[0][0] - start) for c in found) - AROUND
                     hi = max(c[-1][1] + (end - c[-1][0]) for c in found) + AROUND
                     rows.append((d, other, max(0, lo), hi, [np.array(c, "<i4").tobytes() for c in found]))
@@ -256,7 +351,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
 
         return step
 
-    wanted = map_batches(by_doc, ["id", "m"], make_chains, "d long, id long, lo long, hi long, chains array<binary>", [("d", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("chains", pa.list_(pa.binary()))])
+    wanted = map_batches(by_doc, ["id", "m", "w"], make_chains, "d long, id long, lo long, hi long, chains array<binary>", [("d", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("chains", pa.list_(pa.binary()))])
     wanted = written(wanted, "chains")
 
     def make_cuts():

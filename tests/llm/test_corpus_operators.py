@@ -147,6 +147,39 @@ def test_every_exact_repeat_of_the_least_length(spark):
     assert sum(len(got[i] - want[i]) for i in got) <= 2 * len(got)
 
 
+def test_repeats_whose_parts_occur_earlier(spark):
+    """Earlier documents have parts of a passage, each less than the least length, and hide its first whole occurrence."""
+    rng = random.Random(12)
+    docs, want = [], {}
+    for k in range(8):
+        p = words(rng, 60)
+        parts = [(p[:35], p[26:]), (p[:49], p[11:]), (p[5:52], p[:4]), (p[:26], p[26:52])][k % 4]
+        docs += [(10 * k + i, words(rng, 20) + w + words(rng, 20)) for i, w in enumerate([*parts, p, words(rng, 7) + p])]
+        want[10 * k + 3] = (10 * k + 2, set(range(27, 87)))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {}
+    for r in substring.repeated_passages(frame).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == set(want)
+    for i, (source, places) in want.items():
+        assert any(r["source_doc_id"] == source and places <= set(range(r["start"], r["end"])) and r["matched"] >= 60 for r in got[i])
+    cut = {r["doc_id"]: r["text"].split() for r in substring.without_passages(frame).collect()}
+    assert all(len(cut[i]) <= 47 for i in want)
+
+
+def test_windows_and_their_runs():
+    rng = random.Random(13)
+    text = " ".join(words(rng, 90))
+    every = np.unique(substring.seeds_of(text)[0])
+    h, at = substring.windows_of(text, every, 50)
+    assert at.tolist() == list(range(41)) and len(set(h.tolist())) == 41
+    inner, places = substring.windows_of(" ".join(text.split()[13:80]), every, 50)
+    assert inner.tolist() == h[13:31].tolist() and places.tolist() == list(range(18))
+    assert len(substring.windows_of(text, every[:0], 50)[0]) == 0
+    assert substring.runs_of([(k, 1, 100 + k) for k in range(5)] + [(7, 2, 0), (8, 2, 1), (9, 3, 9)], 10) == [(0, 14, 1, 100), (9, 19, 3, 9)]
+    assert substring.runs_of([(k, 1, 0) for k in range(31)], 10) == [(0, 10, 1, 0), (10, 20, 1, 0), (20, 30, 1, 0), (30, 40, 1, 0)]
+
+
 def test_chain_scores_by_hand():
     matches = [(0, 100), (10, 110), (20, 120), (15, 300), (30, 130), (200, 400), (210, 410)]
     assert substring.chains(matches) == [[(0, 100), (10, 110), (20, 120), (30, 130)], [(200, 400), (210, 410)], [(15, 300)]]
