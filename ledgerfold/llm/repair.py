@@ -4,7 +4,7 @@ write_ids(docs, path) encodes whole texts, ends each document with an end id, an
 a table of shards; read_ids(spark, path) gives the documents back, each with the number of ids before it. The rows are
 dealt out by ranges of the id, sorted in each task, and cut into shards of about `shard_ids` ids (texts go in
 batches of about `chars` characters, and neither a batch nor a document is cut). In a shard, frequent neighbouring pairs become nonterminals, round by round, the most frequent first where two
-overlap; end ids are never part of a pair, so a document's symbols stay together and can be read alone.
+overlap, until no pair is found LEAST times; the ends of documents are never part of a pair, so a document's symbols stay together and can be read alone.
 
 File format: Parquet, a row for each shard: part and shard (the order), part_start (ids before the shard in its part),
 n_tokens, doc_ids, doc_at (where each document's symbols begin), doc_tokens (its ids), rules (pairs, in the order of
@@ -19,6 +19,7 @@ parts as the shuffle has) is gathered, to find where each part starts.
 from __future__ import annotations
 
 import re
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ from ..shipping import to_workers
 from .common import per_worker, tokenizer_path
 from .hashing import words_in
 
-END_ID, SHARD_IDS, ROUNDS, LEAST = 1, 1 << 20, 4, 4
+END_ID, SHARD_IDS, LEAST = 1, 1 << 20, 4
+#: When a round finds so few pairs, all pairs are counted exactly to see whether any are left.
+FEW = 64
 DOCS_A_BATCH = 1000
 #: A word may have ASCII signs after it. Where it ends in a letter that normalises to itself or its lower case, or in a
 #: digit, the tokenizer splits between the two, whatever stands around them.
@@ -168,34 +171,54 @@ def batches_of(texts: list[str | None], chars: int = 1 << 17):
         yield range(start, len(texts))
 
 
-def compress(ids: np.ndarray, base: int, end_id: int = END_ID, rounds: int = ROUNDS, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def most_frequent(seq: np.ndarray, end_id: int) -> int:
+    """How often the most frequent pair without an end id is found; one that overlaps itself (x x x) counts where it
+    can be replaced."""
+    pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
+    twin = np.flatnonzero(seq[:-1] == seq[1:])
+    head = np.maximum.accumulate(np.where(np.diff(twin, prepend=-2) > 1, np.arange(len(twin)), 0))
+    fine = (seq[:-1] != end_id) & (seq[1:] != end_id)
+    fine[twin[(np.arange(len(twin)) - head) % 2 == 1]] = False
+    pair = np.sort(pair[fine])
+    return int(np.diff(np.flatnonzero(np.append(True, pair[1:] != pair[:-1])), append=len(pair)).max()) if len(pair) else 0
+
+
+def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair: symbols and rules (pairs; rule k is symbol base + k). Each round counts all pairs, gives those found
-    often a nonterminal, and replaces them; the bar falls from round to round. Pairs are counted in a table by their
-    hash, where of two that fall on one place one waits for a later round."""
-    small = base <= 1 << 16
-    most_rules = most_rules if most_rules is not None else (1 << 16) - base if small else 1 << 20
+    often a nonterminal, and replaces them; the bar falls from round to round, and rounds go on until no pair is found
+    LEAST times. Pairs are counted in a table by their hash (another one in each round), where of two that fall on one
+    place one waits for a later round. With a vocabulary of less than
+    1 << 16, symbols stay at 16 bits and rules end when these are used up: more rules save fewer symbols than wider ones cost."""
+    small = base < 1 << 16
     kind, half = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
+    most_rules = (1 << 16 if small else 1 << 31) - base
     seq, rules, made = ids.astype(kind), [], 0
-    for k in range(rounds):
-        bar = max(LEAST, len(seq) >> (8 + 3 * k)) if k + 1 < rounds else LEAST
+    for k in count():
+        bar = max(LEAST, len(seq) >> (8 + 3 * k))
         if len(seq) < 2 or made >= most_rules:
             break
         pair = (seq[:-1] << half) | seq[1:]
-        slot = ((pair.astype(np.uint32) if small else (pair ^ (pair >> np.uint64(29))).astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.intp)
+        odd = (0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF
+        if small:
+            slot = (((pair + np.uint32(k + 1)) * np.uint32(odd >> 32 | 1)) >> np.uint32(12)).astype(np.intp)
+        else:
+            slot = (((pair + np.uint64(k + 1)) * np.uint64(odd)) >> np.uint64(44)).astype(np.intp)
         ends = np.flatnonzero(seq == end_id)
         slot[ends[ends < len(slot)]] = 0
         slot[ends[ends > 0] - 1] = 0
         holder = np.zeros(1 << 20, kind)
         holder[slot] = pair
-        count = np.bincount(slot, minlength=1 << 20)
-        count[0] = 0
-        at = np.flatnonzero(np.take(count >= bar, slot))
+        found = np.bincount(slot, minlength=1 << 20)
+        found[0] = 0
+        at = np.flatnonzero(np.take(found >= bar, slot))
         own = slot[at]
         mine = np.take(holder, own) == pair[at]
         at, own = at[mine], own[mine]
-        count = np.bincount(own, minlength=1 << 20)
-        often = np.flatnonzero(count >= bar)
-        often = often[np.argsort(-count[often], kind="stable")][: most_rules - made]
+        found = np.bincount(own, minlength=1 << 20)
+        often = np.flatnonzero(found >= bar)
+        often = often[np.argsort(-found[often], kind="stable")][: most_rules - made]
+        if bar == LEAST and len(often) < FEW and most_frequent(seq, end_id) < LEAST:
+            break
         if not len(often):
             continue
         urgency = np.zeros(1 << 20, np.int32)
@@ -249,13 +272,13 @@ class Grammar:
 
 def pack(part: int, shard: int, part_start: int, doc_ids: list, ids: np.ndarray, counts: np.ndarray, base: int, end_id: int) -> pa.RecordBatch:
     """A shard of documents' ids and how many each has, its end ids not yet among them."""
-    ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-    symbols, rules = compress(ids, base, end_id)
-    ends = np.flatnonzero(symbols == end_id)
+    # a text may have the end id itself, so documents are parted by a symbol outside the vocabulary while pairs are made
+    parting, base = base, base + 1
+    ids = np.insert(ids, np.cumsum(counts), parting).astype("<u4")
+    symbols, rules = compress(ids, base, parting)
+    ends = np.flatnonzero(symbols == parting)
+    symbols[ends] = end_id
     tokens = (counts + 1).astype("<u4")
-    if len(ends) != len(counts):  # a text has the end id itself: keep the shard as it is
-        symbols, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
-        ends = np.cumsum(tokens.astype(np.int64)) - 1
     size = Grammar(rules, base).size[base:]
     width = 2 if base + len(rules) <= 1 << 16 else 4
     row = {"part": part, "shard": shard, "part_start": part_start, "n_tokens": len(ids), "doc_ids": doc_ids, "doc_at": np.concatenate([[0], ends[:-1] + 1]).astype("<u4").tobytes(), "doc_tokens": tokens.tobytes(), "rules": rules.astype("<u4").tobytes(), "rule_tokens": size.astype("<u4").tobytes(), "symbols": symbols.astype(f"<u{width}").tobytes(), "base": base, "width": width}

@@ -222,6 +222,32 @@ def test_repair_round_trip():
     assert len(repair.compress(ids, 60_000)[0]) < len(ids) / 2
 
 
+def test_shards_with_the_end_id_in_a_text_are_compressed():
+    rng = np.random.default_rng(15)
+    for base in (49_152, 70_000):
+        phrase = rng.integers(2, 40_000, 64)
+        docs = [np.concatenate([phrase, rng.integers(0, 40_000, 20), [repair.END_ID], phrase]) for _ in range(60)] + [np.array([], np.int64), np.array([1, 1, 1])]
+        counts = np.array([len(x) for x in docs])
+        row = repair.pack(0, 0, 0, list(range(len(docs))), np.concatenate(docs).astype(np.uint32), counts, base, repair.END_ID).to_pylist()[0]
+        assert len(row["rules"]) and len(row["symbols"]) // row["width"] < len(np.concatenate(docs)) / 3
+        for k, d in enumerate(docs):
+            assert repair.tokens_of(row, k).tolist() == [*d.tolist(), repair.END_ID]
+
+
+@pytest.mark.parametrize("base", [60_000, 70_000])
+def test_no_frequent_pair_is_left(base):
+    rng = np.random.default_rng(16)
+    phrases = [rng.integers(2, 50_000, int(rng.integers(2, 300))) for _ in range(30)]
+    ids = np.concatenate([phrases[i] for i in rng.integers(0, 30, 300)] + [np.full(37, 7), rng.integers(0, 9, 3000)]).astype(np.uint32)
+    symbols, rules = repair.compress(ids, base)
+    assert (repair.Grammar(rules, base).expand(symbols) == ids).all()
+    places = {}
+    for k, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
+        if 1 not in pair and (not places.get(pair) or places[pair][-1] < k - 1 or pair[0] != pair[1]):
+            places.setdefault(pair, []).append(k)
+    assert max(map(len, places.values())) < repair.LEAST
+
+
 def test_words_equal_the_library():
     rng, coder = random.Random(6), repair.WordIds(tokenizer_path("word_bpe_49k.json"), bits=5)
     letters = "aaabceht  \n\t'sr<|endoftext|><|startoftext|>éßñ字١½\x85\x1c 　​0123!?*#İſΣ\u0301"
