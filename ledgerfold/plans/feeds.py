@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.oplog import events_log, table
+from ..shipping import shared_folder
 from ..sources import generators, runlog, trace
 from ..streaming import oplog_stream
 from .registry import ACCESS, LOG, query
@@ -15,15 +16,8 @@ from .transactions import writes
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder all executors share: the session's checkpoint folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.getCheckpointDir():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerfold-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/ledgerfold/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/ledgerfold/{name}-{uuid.uuid4().hex}"
 
 
 def trace_lines(spark, d):
