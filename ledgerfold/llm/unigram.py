@@ -1,97 +1,231 @@
 """Operator 4: token counts by a count-only Viterbi pass.
 
-token_counts(docs) gives the number of tokens of each whole text under a unigram vocabulary, without making the
-tokens. An Aho-Corasick automaton lists the vocabulary's pieces that end at each character; dynamic programming carries
-the best score and its number of pieces. The unigram tokenizer's tie rules: of equal scores the piece that starts
-first wins; a character that is no piece itself may be an unknown one, at the least score minus 10, and counts its UTF-8
-bytes (byte fallback); texts get a space in front, spaces are kept as they are.
-
-No piece has a space after its first character that isn't one, or a line feed, so texts are cut there and the best
-paths of the cuts add up. Distinct cuts are counted once in a worker and kept. Scores add up exactly here; the library
-keeps a 32-bit sum, which rounds once it passes 2 ** 24, so on long texts its choice between near-equal paths may
-differ.
+token_counts(docs) gives the number of tokens of each whole text under a unigram vocabulary, as the sentencepiece
+library counts them, without making the tokens. An Aho-Corasick automaton lists the vocabulary's pieces; dynamic
+programming carries the best score and its number of pieces from character to character.
+
+The tokenizer's rules, all of which decide between near-equal paths:
+- of equal scores the piece that starts first wins; texts get a space in front, spaces are kept as they are;
+- a character that is no piece itself is an unknown one, at the least score minus 10, and counts its UTF-8 bytes;
+- scores are 32-bit sums, and where the best one up to a place is beyond REBASE in size it is taken off all places
+  reached so far, which rounds them. A piece of a very low score (the single space: -1e9) so rounds what starts beside
+  it to multiples of 64.
+
+Where all scores are whole numbers, no piece has a line feed or a space after its first other character, and the single
+space is beyond REBASE, texts are cut at spaces and line feeds: of all that was before, a cut's outcome depends on no
+more than the sum's distance from a multiple of 64. Distinct cuts are run together, as arrays, and kept in
+the worker. Other
+vocabularies are run over the whole text at once.
 
 The vocabulary is that of piece_bpe_32k.model, pieces with their scores, read as a unigram model. Null and empty texts
-have no tokens and score 0. Null ids and repeated rows stay rows of their own. Extra columns are ignored. No shuffle.
+have no tokens and score 0; an empty table gives an empty table. Null ids and repeated rows stay rows of their own; texts
+may be of any length. Extra columns are ignored. No shuffle.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from itertools import chain
 
 import ahocorasick
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame
 
-from .bpe import _arrow_type
-from .common import PieceCache, map_batches, per_worker, tokenizer_path
+from .common import map_columns, per_worker, tokenizer_path, type_of
 
 UNKNOWN_PENALTY = 10.0
+#: Fixed value: the tokenizer's bound on partial sums.
+REBASE = 1e5
+#: Sums of whole numbers up to this size are exact in 32 bits.
+EXACT = 1 << 24
+#: Two roundings to a multiple of 64 can change a difference by no more.
+ROUNDED = 128
+#: Cuts kept in a worker (beside those of the texts at hand), cuts that are run together, and the longest of these.
+KEPT, TOGETHER, LONG = 150_000, 10_000, 40
 CUTS = re.compile(r"\n| +[^ \n]*|[^ \n]+").findall
 
 
+class Choices(dict):
+    """What best() gives of a cut by the rounding it starts with, where that decides the path."""
+
+    __slots__ = ("counter", "cut")
+
+    def __init__(self, counter: "UnigramCounter", cut: str):
+        self.counter, self.cut = counter, cut
+
+    def __missing__(self, rest: float):
+        self[rest] = found = self.counter.best(self.cut, rest)
+        return found
+
+
 class UnigramCounter:
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        model = SentencePieceProcessor(model_file=path)
-        pieces = {model.id_to_piece(i).replace("▁", " "): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
-        if any("\n" in p or " " in p.lstrip(" ") for p in pieces):
-            raise ValueError("the vocabulary has pieces across white space, texts can't be cut there")
-        self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
-        self.automaton = ahocorasick.Automaton()
-        for piece, score in pieces.items():
-            self.automaton.add_word(piece, (len(piece), score))
+    def __init__(self, path: str | None = None, pieces: dict[str, float] | None = None):
+        if pieces is None:
+            from sentencepiece import SentencePieceProcessor
+
+            model = SentencePieceProcessor(model_file=path)
+            pieces = {model.id_to_piece(i).replace("▁", " "): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+        self.f32 = array("f", [0.0])
+        self.unknown = self.narrow(min(pieces.values()) - UNKNOWN_PENALTY)
+        self.longest = max(map(len, pieces))
+        self.exact = EXACT if all(float(s).is_integer() for s in pieces.values()) else 0
+        self.cuts = self.exact and abs(pieces.get(" ", self.unknown)) > REBASE and abs(self.unknown) > REBASE and not any("\n" in p or "\0" in p or " " in p.lstrip(" ") for p in pieces)
+        self.automaton, self.pieces = ahocorasick.Automaton(), pieces
+        self.sizes, self.gains = list(map(len, pieces)), [self.narrow(g) for g in pieces.values()]
+        for k, piece in enumerate(pieces):
+            self.automaton.add_word(piece, k)
         self.automaton.make_automaton()
-        self.cache = PieceCache(self.best, 150_000)
-
-    def best(self, cut: str) -> tuple[int, float]:
-        """Number of tokens and score of the best path through a cut."""
-        n = len(cut)
-        score, count = array("d", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1)))
-        matches = iter(self.automaton.iter(cut))
-        match = next(matches, None)
-        for end in range(1, n + 1):
-            here = []
-            while match and match[0] == end - 1:
-                here.append(match[1])
-                match = next(matches, None)
-            here.sort(reverse=True)  # the earliest start first
-            top, pieces = None, 0
-            for size, gain in here:
-                s = score[end - size] + gain
-                if top is None or s > top:
-                    top, pieces = s, count[end - size] + 1
-            if not here or here[-1][0] > 1:  # no piece of this one character
-                s = score[end - 1] + self.unknown
-                if top is None or s > top:
-                    top, pieces = s, count[end - 1] + len(cut[end - 1].encode())
-            score[end], count[end] = top, pieces
-        return count[n], score[n]
-
-    def count(self, text: str | None) -> tuple[int, float]:
-        if not text:
-            return 0, 0.0
-        tokens, score = 0, 0.0
-        for n, s in map(self.cache.__getitem__, CUTS(" " + text.replace("▁", " "))):
-            tokens += n
-            score += s
-        return tokens, score
+        self.size, self.gain = np.array(self.sizes), np.array(self.gains, np.float32)
+        self.known: dict = {}
+
+    def narrow(self, x: float) -> float:
+        """The nearest 32-bit number."""
+        self.f32[0] = x
+        return self.f32[0]
+
+    def best(self, cut: str, start: float = 0.0) -> tuple[int, float, float]:
+        """Tokens and score of the tokenizer's path through a cut, and the sum it is left with (0 where that is taken
+        off at once)."""
+        n, narrow, exact = len(cut), self.narrow, self.exact
+        begins: list = [None] * n
+        for end, k in self.automaton.iter(cut):
+            at = end + 1 - self.sizes[k]
+            if begins[at] is None:
+                begins[at] = []
+            begins[at].append((end + 1, self.gains[k]))
+        score, total, count = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+        score[0] = start
+        for i in range(n):
+            till, had, sum_, steps = score[i], count[i], total[i], begins[i]
+            begins[i] = None
+            if till > REBASE or till < -REBASE:
+                for e in range(i + 1, min(n, i + self.longest) + 1):
+                    if count[e]:
+                        x = score[e] - till
+                        score[e] = x if -exact < x < exact else narrow(x)
+                till = 0.0
+            for e, gain in steps or ():
+                x = till + gain
+                if not -exact < x < exact:
+                    x = narrow(x)
+                if not count[e] or x > score[e]:
+                    score[e], count[e], total[e] = x, had + 1, sum_ + gain
+            if not steps or steps[0][0] != i + 1:
+                e, x = i + 1, narrow(till + self.unknown)
+                if not count[e] or x > score[e]:
+                    score[e], count[e], total[e] = x, had + len(cut[i].encode()), sum_ + self.unknown
+        rest = score[n]
+        return count[n], total[n], 0.0 if rest > REBASE or rest < -REBASE else rest
+
+    def outcomes(self, cuts: list[str]) -> list:
+        """For each cut what best() gives. All cuts go through the dynamic programme together, a place at a time; a path's
+        first piece tells what its sum was rounded with. Where the sum left depends on the rounding at the start, the scores
+        of two first pieces tell how (left + 64 * (rounded first - rounded second)); where the path does, Choices."""
+        size = np.array([len(c) for c in cuts])
+        n, most, text = len(cuts), int(size.max()), "\0".join(cuts)
+        begin = np.cumsum(size + 1) - size - 1
+        pairs = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        ends, piece = pairs[:, 0] + 1, pairs[:, 1]
+        row = np.repeat(np.arange(n, dtype=np.int32), size + 1)[ends - 1]
+        ends -= begin[row]
+        starts, gain = ends - self.size[piece], self.gain[piece]
+        single = np.zeros((n, most), bool)
+        single[row[ends == starts + 1], starts[ends == starts + 1]] = True
+        lone, at = np.nonzero(~single & (np.arange(most) < size[:, None]))
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)[begin[lone] + at]
+        adds = np.concatenate([np.ones(len(row), np.int32), np.int32(1) + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)])
+        row, starts, ends = np.concatenate([row, lone]), np.concatenate([starts, at]), np.concatenate([ends, at + 1])
+        gain = np.concatenate([gain, np.full(len(lone), self.unknown, np.float32)])
+        order = np.argsort(starts, kind="stable")
+        row, starts, ends, gain, adds = (x[order] for x in (row, starts, ends, gain, adds))
+        bounds = np.searchsorted(starts, np.arange(most + 1))
+        score, total = np.zeros((n, most + 1), np.float32), np.zeros((n, most + 1))
+        count, first = np.zeros((n, most + 1), np.int32), np.zeros((n, most + 1), np.int16)
+        base, sure = np.zeros(n, np.int16), np.ones(n, bool)
+        for i in range(most):
+            till, own = score[:, i].copy(), first[:, i]
+            edge = np.abs(till)
+            sure &= ~((np.abs(edge - REBASE) <= ROUNDED) & (own != base) & (size > i))
+            off = np.flatnonzero((edge > REBASE) & (size > i))
+            if len(off):
+                span = slice(i + 1, min(most, i + self.longest) + 1)
+                score[off, span] -= np.where(count[off, span] > 0, till[off, None], np.float32(0))
+                till[off], base[off] = 0, own[off]
+            here = slice(bounds[i], bounds[i + 1])
+            r, e = row[here], ends[here]
+            x, mine = till[r] + gain[here], own[r] if i else e.astype(np.int16)
+            old, there = score[r, e], count[r, e] > 0
+            near = there & (np.abs(x - old) <= ROUNDED) & (first[r, e] != mine)
+            sure[r[near]] = False
+            take = ~there | (x > old)
+            r, e, mine = r[take], e[take], mine[take]
+            score[r, e], first[r, e] = x[take], mine
+            count[r, e] = count[r, i] + adds[here][take]
+            total[r, e] = total[r, i] + gain[here][take]
+        every = np.arange(n)
+        rest, own = score[every, size], first[every, size]
+        far = np.abs(rest) > REBASE
+        sure &= ~((np.abs(np.abs(rest) - REBASE) <= ROUNDED) & (own != base))
+        rest[far] = 0
+        fixed = sure & (far | (own == base))
+        out = list(zip(count[every, size].tolist(), total[every, size].tolist(), rest.tolist()))
+        for k in np.flatnonzero(~fixed).tolist():
+            if cuts[k][0] != " ":  # after a line feed nothing is left to round
+                continue
+            if not sure[k]:
+                out[k] = Choices(self, cuts[k])
+                continue
+            one, two = self.pieces[cuts[k][: own[k]]], self.pieces[cuts[k][: base[k]]]
+            out[k] = (*out[k][:2], out[k][2] - 64 * (round(one / 64) - round(two / 64)), one, two)
+        return out
+
+    def learn(self, parts: list[list[str]]) -> None:
+        """Sees to it that all cuts of these texts are known."""
+        need = set().union(*parts)
+        new = need - self.known.keys()
+        if len(self.known) + len(new) > KEPT:
+            self.known = {c: self.known[c] for c in need if c in self.known}
+        short = sorted((c for c in new if len(c) <= LONG), key=len)
+        for k in range(0, len(short), TOGETHER):
+            some = short[k : k + TOGETHER]
+            self.known.update(zip(some, self.outcomes(some)))
+        self.known.update((c, Choices(self, c) if c[0] == " " else self.best(c)) for c in new if len(c) > LONG)
+
+    def counts(self, texts: list[str | None]) -> list[tuple[int, float]]:
+        whole = [" " + t.replace("▁", " ") if t else "" for t in texts]
+        if not self.cuts:
+            return [self.best(t)[:2] if t else (0, 0.0) for t in whole]
+        parts = [CUTS(t) for t in whole]
+        self.learn(parts)
+        out = []
+        for cuts in parts:
+            tokens, score, rest = 0, 0.0, 0.0
+            for found in map(self.known.__getitem__, cuts):
+                if type(found) is Choices:
+                    found = found[rest - 64 * round(rest / 64)]
+                tokens += found[0]
+                score += found[1]
+                if len(found) == 3:
+                    rest = found[2]
+                else:
+                    rest -= 64 * round(rest / 64)
+                    rest = found[2] + 64 * (round((found[3] + rest) / 64) - round((found[4] + rest) / 64))
+            out.append((tokens, score))
+        return out
 
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id column, n_tokens and score (of the best path)."""
+    """Per row: the id column, n_tokens and score (of the tokenizer's path)."""
     path = path or tokenizer_path("piece_bpe_32k.model")
 
     def make():
         counter = per_worker(("unigram", path), lambda: UnigramCounter(path))
 
         def step(ids, texts):
-            found = [counter.count(t) for t in texts.to_pylist()]
+            found = counter.counts(texts.to_pylist())
             return ids, [n for n, _ in found], [s for _, s in found]
 
         return step
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs, [id_col, text_col], make, f"`{id_col}` {kind}, n_tokens long, score double", [(id_col, _arrow_type(docs, id_col)), ("n_tokens", pa.int64()), ("score", pa.float64())])
+    return map_columns(docs, [id_col, text_col], make, [(id_col, type_of(docs, id_col)), ("n_tokens", "long"), ("score", "double")])
