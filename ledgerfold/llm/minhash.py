@@ -7,21 +7,26 @@ smallest values, and the first `KEYS` of them are its keys.
 1. Equal sets become one class, represented by its smallest id.
 2. Inverted lists: classes by key. The smallest class of a list is compared with all others (a star, linear in the
    list). Sizes, then an estimate from the union of the two sketches, sift the pairs; full sets decide.
-3. Links make components. Only where a list still has several of them can a link be missing, so all pairs across
-   components are compared in lists of at most `SHORT` classes.
-4. In longer lists (a common line, a large group of copies) only classes with enough keys in long lists take part (a
-   link that no short list shows has its shared keys in long ones), and only pairs across components that exact bounds
-   on the two sets' difference allow: shingles that no other component has, and how many each shares with the list's
-   smallest class. Members of a list's largest component are compared with outsiders only.
-
-What chance may lose, for a pair right at the threshold: it shares no key ((1 - threshold) ** KEYS); the estimate is SLACK
-too low (more than six standard deviations); all its shared keys are in long lists and they are fewer than `enough`
-(chances of 2.5e-4 at 0.8, 1.6e-4 at 0.85), which matters only if no third text joins the two. Nothing else is left out.
+3. Links make components. Only where a list still has several of them can a link be missing. In short lists all pairs
+   across components are candidates.
+4. In longer lists (a common line, a large group of copies) exact bounds say which classes can still have a partner.
+   Shingles that no other class has (`own`) are in no intersection, so a class of n shingles has none at all if
+   n - own < threshold * n, and else only such of at most (1 + threshold) / threshold * (n - own) - n shingles. The class
+   with the least share of own shingles in a list's largest component is compared with all that can have a partner
+   and are in other components: of a group of copies this is one with few changes, which links all that any other would.
+   What is then still apart is compared by ranges of sizes, which for a group of copies leaves next to nothing.
+
+What chance may lose, for a pair right at the threshold: it shares no key ((1 - threshold) ** KEYS, 6.6e-12 at 0.8); the
+estimate is SLACK too low (more than six standard deviations); fewer than LEAST_KEYS of a class's keys are in any other
+class's (5e-11 at 0.8). Nothing else is left out, whatever the sizes of lists. Pairs that no bound excludes grow with
+the square of a group only where its members have no shingles of their own and yet are not alike. Equal sets are known by
+a 128-bit digest of their 63-bit shingle hashes, which is not confirmed word by word: two different shingles of one hash
+would be needed.
 
 Words are runs of non-white-space with A-Z in lower case; a text of fewer words than a shingle is one shingle, one
 without words is empty and linked with nothing. Rows are judged by their text: repeated rows are copies of each other,
-rows of one id and different texts are linked by their texts. Null ids take no part: component null, kept. Empty tables
-give empty tables. Extra columns are ignored.
+rows of one id and different texts are linked by their texts. Ids are whole numbers; rows of null ids (or such that are
+no whole numbers) take no part: component null, kept. Empty tables give empty tables. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +37,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_batches, written
+from .common import map_batches, numbered, picked, place, restored, type_of, whole_number, written
 from .components import components
 from .hashing import lower_ascii, run_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCH, KEYS, SHORT, SLACK = 64, 16, 64, 0.3
-#: Ids up to this number are broadcast (8 bytes each); more of them are joined by a shuffle.
-BROADCAST_IDS = 100_000
+#: Keys that a class must have in common with others to have a partner in a long list (if it has more shingles than KEYS).
+LEAST_KEYS = 3
+#: Sizes are compared in ranges of this ratio.
+STEP = 1.02
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -55,20 +61,29 @@ def shingle_set(text: str | None, size: int) -> set:
     return set(zip(*(words[k:] for k in range(size)))) if len(words) >= size else {tuple(words)} if words else set()
 
 
-def sketches(docs: DataFrame, size: int, id_col: str, text_col: str, with_sketch: bool) -> DataFrame:
-    """id, n (distinct shingles), same (a 128-bit digest of the set, null if empty) and, if asked, the sketch."""
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text."""
+    return picked(docs, id=id_col, text=text_col).select(whole_number("id").alias("id"), F.col("text").cast("string").alias("text"))
+
+
+def digest(text):
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def sketches(texts: DataFrame, size: int) -> DataFrame:
+    """id, digest (of the text), n (distinct shingles), same (a 128-bit digest of the set, null if empty), sketch."""
 
     def make():
-        def step(ids, texts):
+        def step(ids, digests, texts):
             sets = [shingle_hashes(t, size) for t in texts.to_pylist()]
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            return ids, [len(s) for s in sets], same, *([[s[:SKETCH].astype(np.int64) for s in sets]] if with_sketch else [])
+            return ids, digests, [len(s) for s in sets], same, [s[:SKETCH].astype(np.int64) for s in sets]
 
         return step
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    extra = (", sketch array<long>", [("sketch", pa.list_(pa.int64()))]) if with_sketch else ("", [])
-    return map_batches(rows, ["id", "text"], make, "id long, n long, same binary" + extra[0], [("id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), *extra[1]])
+    rows = texts.select("id", digest(F.col("text")).alias("digest"), "text")
+    fields = [("id", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("same", pa.binary()), ("sketch", pa.list_(pa.int64()))]
+    return map_batches(rows, ["id", "digest", "text"], make, "id long, digest string, n long, same binary, sketch array<long>", fields)
 
 
 def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -112,12 +127,24 @@ def fitting(n: str, m: str, threshold: float):
     return F.least(n, m) * 100 >= F.greatest(n, m) * round(100 * threshold)
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id column, n_shingles, component_id, kept (whether it is the smallest id of its component) and same (a
-    digest of its shingles, null if there are none)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = sketches(docs, shingle, id_col, text_col, False)
-    known = sketches(docs, shingle, id_col, text_col, True).where(F.col("id").isNotNull() & (F.col("n") > 0))
+    """Per row: the id column, n_shingles, component_id and kept (whether the id is the smallest of its component)."""
+    found = judged(docs, shingle, threshold, id_col, text_col)
+    kind = type_of(docs, id_col)
+    if kind.typeName() not in ("byte", "short", "integer", "long"):
+        kind = "long"
+    return found.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"), "kept")
+
+
+def judged(docs: DataFrame, shingle: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, digest, n, same, component, kept."""
+    texts = texts_of(docs, id_col, text_col)
+    rows = written(sketches(texts, shingle), "sketches")
+    known = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
     sets = written(known.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
 
     # inverted lists of the keys that several classes have
@@ -127,80 +154,75 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     stars = members.where((F.col("id") != F.col("first")) & fitting("n", "first_n", threshold)).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = written(alike(stars, sets, threshold), "stars")
 
-    # classes that could be alike through long lists alone
-    enough = F.when(F.col("n") > KEYS, F.lit(KEYS * (threshold - 2 * SLACK / 1.5))).otherwise(F.col("n") * threshold)
-    common = members.where(F.col("size") > SHORT).groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= enough).select("id", "n")
+    # classes of long lists that have enough keys in common with others
+    enough = F.when(F.col("n") > KEYS, F.lit(float(LEAST_KEYS))).otherwise(F.col("n") * threshold - 1e-9)
+    common = members.groupBy("id", "n").agg(F.count("*").alias("k"), F.max("size").alias("longest")).where((F.col("longest") > SHORT) & (F.col("k") >= enough)).select("id", "n")
     common = written(common, "common")
 
-    # one pass over the texts: those that the stars or the bounds need
-    needed = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).unionByName(common.select("id")).distinct()
-    chosen = written(texts.join(needed.hint("merge"), "id"), "texts")
+    chosen = written(texts.join(ends_of(stars).unionByName(common.select("id")).distinct().hint("merge"), "id"), "texts")
     links = written(confirmed(stars, chosen, shingle, threshold), "confirmed")
     found = written(components(links), "components")
 
-    rest = written(crossing(members, common, chosen, found, shingle, threshold, sets), "crossing")
-    ids = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).distinct()
-    n = ids.limit(BROADCAST_IDS + 1).count()
-    if n:
-        own = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id")
-        found = written(components(links.unionByName(confirmed(rest, own, shingle, threshold))), "components")
+    def settle(pairs: DataFrame) -> bool:
+        """Adds the links among pairs; whether there were any pairs."""
+        nonlocal links, found
+        pairs = written(alike(pairs, sets, threshold), "pairs")
+        if pairs.isEmpty():
+            return False
+        own = texts.join(ends_of(pairs), "id")
+        links = written(links.unionByName(confirmed(pairs, own, shingle, threshold)), "confirmed")
+        found = written(components(links), "components")
+        return True
+
+    cells = written(long_cells(members, common, chosen, shingle, threshold), "cells")
+    short = across(labelled(members.where(F.col("size") <= SHORT).select("key", "id", "n"), found), threshold)
+    if settle(short.unionByName(middles(labelled(cells, found), threshold)).distinct()):
+        settle(apart(labelled(cells, found), threshold))
 
     out = rows.join(sets.select("same", F.col("id").alias("class")), "same", "left").join(found.withColumnRenamed("node", "class"), "class", "left")
-    component = F.coalesce("component", "class", "id")
-    component = F.when(F.col("id").isNotNull(), component)
-    kind = docs.schema[id_col].dataType
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "same")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
+    return out.select("id", "digest", "n", "same", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that near_duplicates does not keep. Of rows with the same id and shingles one stays; rows
-    without an id and texts without words stay as they are."""
-    found = near_duplicates(docs, shingle, threshold, id_col, text_col)
-    kept = found.where("kept and same is not null").select(F.col(id_col).cast("long").alias("kept_id"), F.col("same").alias("kept_same")).distinct()
-    columns = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
-    names = [f"c{k}" for k in range(len(columns))]
-    at = docs.columns.index(text_col)
-    rows = docs.select(*columns)
+    without an id and texts without words stay as they are. Other columns stay as they are, whatever their names."""
+    found = judged(docs, shingle, threshold, id_col, text_col)
+    kept = found.where("kept and id is not null").select(F.col("id").alias("own"), "digest", "same").distinct()
+    own, text = whole_number(f"c{place(docs, id_col)}"), F.col(f"c{place(docs, text_col)}").cast("string")
+    rows = numbered(docs).withColumns({"own": own, "digest": digest(text)})
+    left = rows.where("own is not null").join(kept, ["own", "digest"])
+    left = left.where("same is not null").dropDuplicates(["own", "same"]).unionByName(left.where("same is null"))
+    return restored(left, docs).union(restored(rows.where("own is null"), docs))
 
-    def make():
-        def step(*given):
-            sets = [shingle_hashes(t, shingle) for t in given[at].to_pylist()]
-            return *given, [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
 
-        return step
+def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with c, the component of their id."""
+    return rows.join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+
 
-    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), "same binary"])
-    rows = map_batches(rows, names, make, schema, [*((n, to_arrow_type(rows.schema[n].dataType)) for n in names), ("same", pa.binary())])
-    own = F.col(f"c{docs.columns.index(id_col)}").cast("long")
-    judged = own.isNotNull() & F.col("same").isNotNull()
-    left = rows.withColumn("own", own).where(judged).join(kept, (F.col("own") == F.col("kept_id")) & (F.col("same") == F.col("kept_same")), "left_semi").dropDuplicates(["own", "same"])
-    return left.select(*names).unionByName(rows.where(~judged).select(*names)).toDF(*docs.columns)
+def parted(rows: DataFrame, cell: str) -> DataFrame:
+    """rows of cells that hold several components, with main, the largest one."""
+    counts = rows.groupBy(cell, "c").agg(F.count("*").alias("k"))
+    main = counts.groupBy(cell).agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1).select(cell, "main")
+    return rows.join(main, cell)
 
 
-def crossing(members: DataFrame, common: DataFrame, texts: DataFrame, found: DataFrame, shingle: int, threshold: float, sets: DataFrame) -> DataFrame:
-    """Pairs of different components that a short list shows and the sketches allow, or a long one shows and the bounds
-    allow (closer than sketches could tell)."""
-    label = found.withColumnRenamed("node", "id").withColumnRenamed("component", "c")
+def ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
 
-    def across(rows: DataFrame, cell: str, allowed) -> DataFrame:
-        """Pairs of a cell's members outside its largest component with all others."""
-        counts = rows.groupBy(cell, "c").agg(F.count("*").alias("k"))
-        main = counts.groupBy(cell).agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1).select(cell, "main")
-        rows = rows.join(main, cell)
-        left = rows.where(F.col("c") != F.col("main")).drop("main").withColumnsRenamed({x: f"{x}1" for x in rows.columns if x not in (cell, "main")})
-        pairs = left.join(rows.drop("main"), cell).where((F.col("c1") != F.col("c")) & fitting("n", "n1", threshold) & allowed)
-        return pairs.select(F.least("id", "id1").alias("a"), F.greatest("id", "id1").alias("b")).distinct()
+def across(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a short list's members outside its largest component with all members of other components."""
+    rows = parted(rows, "key")
+    left = rows.where(F.col("c") != F.col("main")).select("key", F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("c").alias("c1"))
+    pairs = left.join(rows, "key").where((F.col("c1") != F.col("c")) & fitting("n", "n1", threshold))
+    return pairs.select(*ordered("id", "id1")).distinct()
 
-    short = across(labelled(members.where(F.col("size") <= SHORT).select("key", "id", "n")), "key", F.lit(True))
 
-    # long lists: their members from `common`, in cells by the smallest one
-    long = members.where(F.col("size") > SHORT).join(common.select("id"), "id").select("key", "id", "n")
-    cells = labelled(long.join(long.groupBy("key").agg(F.min("id").alias("p")), "key").select("p", "id", "n").distinct())
-    several = cells.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("p")
-    cells = written(cells.join(several, "p"), "cells")
+def long_cells(members: DataFrame, common: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """p (the smallest class of a long list), id, n, own (shingles that no other class here has) and most (the size a
+    partner can have), for classes that can have a partner."""
 
     def make():
         def step(ids, bodies):
@@ -209,34 +231,37 @@ def crossing(members: DataFrame, common: DataFrame, texts: DataFrame, found: Dat
 
         return step
 
-    # of a member: its shingles that no other component has and its cell's smallest member hasn't (own), and those it
-    # shares with the latter (with_p). |x ^ y| >= own x + own y + |with_p x - with_p y|
-    bodies = texts.join(cells.select("id").distinct(), "id").dropDuplicates(["id"])
-    held = written(map_batches(bodies, ["id", "text"], make, "id long, h long", [("id", pa.int64()), ("h", pa.int64())]), "held")
-    only = labelled(held).groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") == F.col("hi")).select("h")
-    own = held.join(only, "h").groupBy("id").agg(F.collect_list("h").alias("own"))
-    both = cells.select("p", "id").join(own, "id", "left").join(bodies.select(F.col("id").alias("p"), F.col("text").alias("tp")), "p").join(bodies.select("id", "text"), "id")
-
-    def make_bounds():
-        last: list = [None, None]
-
-        def step(ps, ids, owns, firsts, texts):
-            shared, alone = [], []
-            for o, tp, t in zip(owns, firsts.to_pylist(), texts.to_pylist(), strict=True):
-                if last[0] != tp:
-                    last[:] = [tp, shingle_hashes(tp, shingle).astype(np.int64)]
-                shared.append(len(np.intersect1d(last[1], shingle_hashes(t, shingle).astype(np.int64), assume_unique=True)))
-                mine = np.array(o.as_py() or [], np.int64)
-                alone.append(len(mine) - len(np.intersect1d(last[1], mine, assume_unique=True)))
-            return ps, ids, shared, alone
-
-        return step
-
-    bounds = map_batches(both, ["p", "id", "own", "tp", "text"], make_bounds, "p long, id long, with_p long, own long", [(x, pa.int64()) for x in ("p", "id", "with_p", "own")])
-    rows = written(cells.join(bounds, ["p", "id"]), "bounds")
-    differ = F.col("own") + F.col("own1") + F.abs(F.col("with_p") - F.col("with_p1"))
-    long_pairs = across(rows, "p", differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n1")) + 1e-6)
-    return alike(short, sets, threshold).unionByName(long_pairs).distinct()
+    bodies = texts.join(common.select("id"), "id")
+    held = map_batches(bodies, ["id", "text"], make, "id long, h long", [("id", pa.int64()), ("h", pa.int64())])
+    own = held.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
+    cells = members.where(F.col("size") > SHORT).join(common.select("id"), "id").select(F.col("first").alias("p"), "id", "n").distinct()
+    # an id with several texts stands for several classes: nothing is known to be its own
+    kind = F.xxhash64("text")
+    several = bodies.groupBy("id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo <> hi").select("id")
+    own = own.join(several, "id", "left_anti")
+    cells = cells.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    most = F.floor((1 + threshold) / threshold * (F.col("n") - F.col("own")) - F.col("n") + 1e-6)
+    return cells.withColumn("most", most).where(F.col("n") - F.col("own") >= threshold * F.col("n") - 1e-6)
+
+
+def middles(cells: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of the class with the least share of own shingles in a cell's largest component and all classes outside."""
+    rows = parted(cells, "p")
+    middle = rows.where(F.col("c") == F.col("main")).groupBy("p").agg(F.min_by(F.struct(F.col("id").alias("id1"), F.col("n").alias("n1")), F.struct(F.col("own") / F.col("n"), "id")).alias("m")).select("p", "m.*")
+    pairs = rows.where(F.col("c") != F.col("main")).join(middle, "p").where(fitting("n", "n1", threshold))
+    return pairs.select(*ordered("id", "id1")).distinct()
+
+
+def apart(cells: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a cell's classes outside its largest component with all classes of other components that both sizes and
+    own shingles allow, met by ranges of sizes."""
+    rows = parted(cells, "p")
+    size = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(STEP)))
+    low, high = F.ceil(threshold * F.col("n") - 1e-6), F.least(F.col("most"), F.floor(F.col("n") / threshold + 1e-6))
+    left = rows.where((F.col("c") != F.col("main")) & (low <= high)).withColumn("range", F.explode(F.sequence(size(low), size(high))))
+    left = left.select("p", "range", *(F.col(x).alias(f"{x}1") for x in ("id", "n", "c", "most")))
+    pairs = left.join(rows.withColumn("range", size(F.col("n"))), ["p", "range"]).where((F.col("c1") != F.col("c")) & (F.col("n") <= F.col("most1")) & (F.col("n1") <= F.col("most")) & fitting("n", "n1", threshold))
+    return pairs.select(*ordered("id", "id1")).distinct()
 
 
 #: DuckDB SQL for shingles of three words and a threshold of 85 percent.
