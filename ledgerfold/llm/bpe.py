@@ -7,7 +7,7 @@ bytes would leave exactly these two. A place from which nothing fits is marked,
 is left at most once, so the time is linear, also for pieces of megabytes; the result is that of the merges in order.
 Decoding copies the tokens' bytes from one table by offset and length.
 
-Null texts count as empty (no ids). Ids pass through as they are: nulls and repeated rows stay rows of their own.
+Null texts count as empty (no ids); an empty table gives an empty table. Ids pass through as they are: nulls and repeated rows stay rows of their own.
 Extra columns of the input are ignored. No shuffle; the vocabulary is read from its file in each worker.
 """
 
@@ -15,15 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import partial
 
 import ahocorasick
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import PieceCache, map_batches, per_worker, tokenizer_path
+from .common import PieceCache, map_columns, numbered, per_worker, tokenizer_path, type_of
 
 #: Fixed value: the published splitting pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -147,19 +146,10 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
         return step
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs, [id_col, text_col], make, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded string", [(id_col, _arrow_type(docs, id_col)), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
-
-
-def _arrow_type(docs: DataFrame, col: str) -> pa.DataType:
-    from pyspark.sql.types import IntegerType, LongType, StringType
-
-    return {LongType: pa.int64(), IntegerType: pa.int32(), StringType: pa.string()}[type(docs.schema[col].dataType)]
+    return map_columns(docs, [id_col, text_col], make, [(id_col, type_of(docs, id_col)), ("n_tokens", "long"), ("ids", "binary"), ("decoded", "string")])
 
 
 def encode_digest(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode_decode with digests in place of ids and text, made in the same tasks."""
-    from pyspark.sql import functions as F
-
-    out = encode_decode(docs, path, id_col, text_col)
-    return out.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = numbered(encode_decode(docs, path, id_col, text_col))
+    return out.select("c0", "c1", F.sha2("c2", 256), F.sha2("c3", 256)).toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")

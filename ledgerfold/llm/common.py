@@ -6,15 +6,20 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
-from ..shipping import to_workers
+from ..shipping import shared_folder, to_workers
 
 #: The tokenizer files live outside the repository; callers may pass any other path.
 TOKENIZER_DIR = "/opt/tokenizers"
-#: Rows that become Python objects at once.
-ROWS = 1000
+#: Rows, and bytes of their texts, that become Python objects at once; a longer text is alone.
+ROWS, BYTES = 1000, 8 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,18 +36,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it. Only where the session names none
-    (tests on one machine) a temporary folder is used."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerfold-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return shared_folder(spark)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -52,8 +46,51 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
-    """Runs make()(Arrow columns) -> columns over slices of at most ROWS rows of the batches of df.select(columns).
+def place(df: DataFrame, name: str) -> int:
+    """Where a column stands: the one of that very name, else the only one that differs from it in case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    alike = [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(alike) != 1:
+        raise ValueError(f"no column {name} among {', '.join(df.columns)}")
+    return alike[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ..., so that no name of the user's can clash or be misread."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def picked(df: DataFrame, **columns: str) -> DataFrame:
+    """Columns of df by name (whatever signs it has), under names of our own."""
+    return numbered(df).select(*(F.col(f"c{place(df, c)}").alias(own) for own, c in columns.items()))
+
+
+def whole_number(column: str) -> Column:
+    """Ids as 64-bit numbers; what is none counts as null."""
+    return F.col(column).try_cast("long")
+
+
+def type_of(df: DataFrame, name: str) -> DataType:
+    return df.schema.fields[place(df, name)].dataType
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ROWS rows and, but for single rows, BYTES bytes of text."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for x in batch.columns:
+        if pa.types.is_string(x.type) or pa.types.is_binary(x.type) or pa.types.is_large_string(x.type):
+            size += pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        most = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BYTES, "right"))
+        stop = min(start + ROWS, max(start + 1, most), batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str | StructType, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """Runs make()(Arrow columns) -> columns over slices of the batches of df.select(columns).
     make runs once in each task, so tables are built (or found in the worker) there and nothing large is pickled."""
     out = pa.schema(fields)
     to_workers(df.sparkSession)
@@ -61,14 +98,54 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
+            for part in slices(batch):
                 step = step or make()
-                columns = step(*batch.slice(start, ROWS).columns)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, out, strict=True)], schema=out)
+                columns = step(*part.columns)
+                yield pa.RecordBatch.from_arrays([as_type(x, f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def as_type(x, kind: pa.DataType) -> pa.Array:
+    if isinstance(x, pa.Array):
+        return x if x.type == kind else x.cast(kind)
+    return pa.array(x, type=kind)
+
+
+def as_kind(kind: DataType | str) -> DataType:
+    return StructType.fromDDL(f"x {kind}")["x"].dataType if isinstance(kind, str) else kind
+
+
+def map_columns(df: DataFrame, columns: list[str], make: Callable[[], Callable], out: list[tuple[str, DataType | str]]) -> DataFrame:
+    """map_batches over columns of a user's table, whatever their names; out: names and Spark types of the result."""
+    schema = StructType()
+    for k, (_, kind) in enumerate(out):
+        schema = schema.add(f"o{k}", as_kind(kind))
+    done = map_batches(numbered(df), [f"c{place(df, c)}" for c in columns], make, schema, [(f.name, to_arrow_type(f.dataType)) for f in schema])
+    return done.toDF(*(name for name, _ in out))
+
+
+def with_columns(df: DataFrame, columns: list[str], make: Callable[[], Callable], added: list[tuple[str, DataType | str]]) -> DataFrame:
+    """df's columns as c0, c1, ... and beside them those that make()(columns) gives."""
+    schema = StructType()
+    for k, f in enumerate(df.schema):
+        schema = schema.add(f"c{k}", f.dataType)
+    n, at = len(df.columns), [place(df, c) for c in columns]
+    for name, kind in added:
+        schema = schema.add(name, as_kind(kind))
+
+    def full():
+        step = make()
+        return lambda *given: (*given, *step(*(given[k] for k in at)))
+
+    return map_batches(numbered(df), [f"c{k}" for k in range(n)], full, schema, [(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+
+def restored(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns c0, c1, ... of rows under df's own names."""
+    return rows.select(*(f"c{k}" for k in range(len(df.columns)))).toDF(*df.columns)
+
+
 _PER_WORKER: dict = {}
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_batches, written
+from .common import map_batches, numbered, picked, place, written
 
 WINDOW, BLOCK_BYTES = 10, 2 << 20
 #: Bytes of UTF-8: A-Z to a-z, digits, a-z and all of 0x80 and up as they are, the rest to spaces.
@@ -108,24 +108,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
     within occurrences), spans (array of [start, end) in words, not overlapping), items (ids found as strings, sorted as
     strings) and contaminated (n_hit > 0)."""
     passed = [id_col, *(c for c in keep if c != id_col and c not in RESULTS)]
-    found = searched(docs, benchmark, passed, window, text_col, item_col, item_text_col, block_bytes)
-    return found.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(passed)), *RESULTS)
+    found = searched(docs, benchmark, [place(docs, c) for c in passed], window, text_col, item_col, item_text_col, block_bytes)
+    return found.select(*(f"c{k}" for k in range(len(passed))), *RESULTS).toDF(*passed, *RESULTS)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, all columns, without the documents that hold a benchmark window."""
-    found = searched(docs, benchmark, docs.columns, window, text_col, item_col, item_text_col, block_bytes)
+    found = searched(docs, benchmark, list(range(len(docs.columns))), window, text_col, item_col, item_text_col, block_bytes)
     return found.where("not contaminated").select(*(f"c{k}" for k in range(len(docs.columns)))).toDF(*docs.columns)
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, passed: list[str], window: int, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
-    """The columns passed as c0, c1, ... and RESULTS."""
+def searched(docs: DataFrame, benchmark: DataFrame, passed: list[int], window: int, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
+    """The columns that stand at the places passed, as c0, c1, ..., and RESULTS."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where(F.length("t") > 0)
+    bench = picked(benchmark, i=item_col, t=item_text_col).select(F.col("i").cast("string"), F.col("t").cast("string")).where(F.length("t") > 0)
     total = bench.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
     # names of our own, so that no column of the documents can clash
-    state = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(passed)), F.col(text_col).cast("string").alias("body"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    rows = numbered(docs)
+    state = rows.select(*(F.col(f"c{k}").alias(f"c{n}") for n, k in enumerate(passed)), F.col(f"c{place(docs, text_col)}").cast("string").alias("body"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     names = [f"c{k}" for k in range(len(passed))]
     schema = ", ".join([*(f"{n} {state.schema[n].dataType.simpleString()}" for n in names), "body string, spans array<struct<start: int, end: int>>, items array<string>, n_words long"])
     pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])

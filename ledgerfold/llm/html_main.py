@@ -19,11 +19,9 @@ import re
 from collections import deque
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import _arrow_type
-from .common import map_batches
+from .common import map_columns, type_of
 
 # Element names of html by their role, and words in class, id and role attributes.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noframes ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -273,5 +271,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         return step
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return map_batches(pages, [id_col, url_col, html_col], make, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long", [(id_col, _arrow_type(pages, id_col)), (url_col, pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    return map_columns(pages, [id_col, url_col, html_col], make, [(id_col, type_of(pages, id_col)), (url_col, type_of(pages, url_col)), ("text", "string"), ("n_chars", "long")])

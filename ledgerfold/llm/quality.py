@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _arrow_type
-from .common import map_batches
+from .common import map_batches, map_columns, type_of
 from .hashing import word_hashes
 
 SAMPLE, BITS, THRESHOLD = 4_000, 14, 0.5
@@ -164,8 +163,7 @@ def assess(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col:
 
         return step
 
-    kind = docs.schema[id_col].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = map_batches(docs, [id_col, text_col], make, f"`{id_col}` {kind}, {', '.join(f'{n} long' for n in names)}, probability double", [(id_col, _arrow_type(docs, id_col)), *((n, pa.int64()) for n in names), ("probability", pa.float64())])
+    out = map_columns(docs, [id_col, text_col], make, [(id_col, type_of(docs, id_col)), *((n, "long") for n in names), ("probability", "double")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return out.select(id_col, *names, failed.alias("base_failed"), "probability", (~failed & (F.col("probability") >= threshold)).alias("kept"))

@@ -8,9 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import bpe, decontam, html_main, minhash, quality, repair, substring, toxicity, unigram, urls
+from . import pipeline as corpus_pipeline
 from .common import read_table, shared_dir
 
 
@@ -19,7 +18,7 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=0.85).drop("same")
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import to_workers
-from .common import per_worker, tokenizer_path
+from .common import per_worker, picked, slices, tokenizer_path, whole_number
 from .hashing import words_in
 
 END_ID, SHARD_IDS, LEAST = 1, 1 << 20, 4
@@ -289,7 +289,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     """Writes the documents' ids under path (a folder all executors can reach)."""
     to_workers(docs.sparkSession)
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
+    rows = picked(docs, d=id_col, t=text_col).select(whole_number("d").alias("d"), F.col("t").cast("string").alias("t"))
     rows = rows.repartitionByRange("d").sortWithinPartitions("d", "t")
 
     def run(batches):

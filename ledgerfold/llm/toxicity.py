@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, picked, restored, with_columns
 
 SAMPLE, ENTRIES, THRESHOLD = 12_000, 600, 0.3
 #: Insults known without any labels.
@@ -208,24 +208,27 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
-def toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with score, predicted (1 where score >= threshold), toxic_terms and toxic_words (the number of words) in
-    place of any columns of these names."""
-    added = [("score", "double", pa.float64()), ("predicted", "int", pa.int32()), ("toxic_terms", "array<string>", pa.list_(pa.string())), ("toxic_words", "long", pa.int64())]
-    names = [c for c in docs.columns if c not in {a[0] for a in added}]
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    fields = [(c, to_arrow_type(docs.schema[c].dataType)) for c in names]
-    at = names.index(text_col)
+def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs' columns as c0, c1, ... and score, predicted (1 where score >= threshold), terms and words (how many)."""
 
     def make():
         scanner = lexicon.scanner()
 
-        def step(*columns):
-            scored = [scanner.score(t) for t in columns[at].to_pylist()]
-            return *columns, [s for s, _, _ in scored], [int(s >= threshold) for s, _, _ in scored], [t for _, t, _ in scored], [n for _, _, n in scored]
+        def step(texts):
+            found = [scanner.score(t) for t in texts.to_pylist()]
+            return [s for s, _, _ in found], [int(s >= threshold) for s, _, _ in found], [t for _, t, _ in found], [n for _, _, n in found]
 
         return step
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{n} {t}" for n, t, _ in added])
-    return map_batches(docs, names, make, schema, fields + [(n, t) for n, _, t in added])
+    return with_columns(docs, [text_col], make, [("score", "double"), ("predicted", "int"), ("terms", "array<string>"), ("words", "long")])
+
+
+def toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: the id column, score, predicted, toxic_terms (the entries found) and toxic_words (the number of words)."""
+    found = scored(picked(docs, id=id_col, text=text_col), lexicon, threshold)
+    return found.select("c0", "score", "predicted", "terms", "words").toDF(id_col, "score", "predicted", "toxic_terms", "toxic_words")
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs, all columns as they are, without the rows predicted toxic."""
+    return restored(scored(docs, lexicon, threshold, text_col).where("predicted = 0"), docs)

@@ -20,11 +20,9 @@ import math
 import re
 from collections import Counter
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import _arrow_type
-from .common import PieceCache, map_batches, per_worker
+from .common import PieceCache, map_columns, per_worker, type_of
 
 #: (verdict, rule): fixed by the query's contract.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -141,5 +139,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, blocked:
 
         return step
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return map_batches(pages, [id_col, url_col], make, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, block_probability double, words array<string>", [(id_col, _arrow_type(pages, id_col)), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("block_probability", pa.float64()), ("words", pa.list_(pa.string()))])
+    return map_columns(pages, [id_col, url_col], make, [(id_col, type_of(pages, id_col)), ("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string"), ("block_probability", "double"), ("words", "array<string>")])

@@ -77,10 +77,10 @@ def near_corpus(seed, copies):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize(("size", "threshold", "short"), [(3, 0.85, 64), (3, 0.85, 8), (5, 0.8, 64), (5, 0.8, 8)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, size, threshold, short):
+@pytest.mark.parametrize(("size", "threshold", "short", "seed", "copies"), [(3, 0.85, 64, 1, 110), (3, 0.85, 8, 1, 110), (5, 0.8, 64, 1, 110), (5, 0.8, 8, 2, 110), (3, 0.85, 4, 3, 700)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, size, threshold, short, seed, copies):
     monkeypatch.setattr(minhash, "SHORT", short)  # at 8 the large group is one of long lists
-    docs = near_corpus(1, 110)
+    docs = near_corpus(seed, copies)
     want, sizes = slow_components(docs, size, round(100 * threshold))
     got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size, threshold).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
@@ -88,6 +88,21 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, size, threshold
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_bounds_leave_no_link_out(spark):
+    """A group of near copies of many lengths, most of them at the threshold's edge: all links, and few pairs."""
+    rng = random.Random(31)
+    base, docs = words(rng, 150), []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.choice([0, 3, 5, 6, 7, 8])):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[word(rng) + "z"], [], [word(rng) + "z", word(rng)]])
+        docs.append((i, " ".join(w[: len(w) - rng.choice([0, 0, 0, 12, 20])])))
+    want, _ = slow_components(docs, 3, 85)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 0.85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = odd_documents(spark)
     got = minhash.near_duplicates(docs).collect()
@@ -98,6 +113,9 @@ def test_near_duplicates_of_odd_rows(spark):
     # the repeated row and the copy under another id go; what has no words or no id stays
     assert sorted(str(r["doc_id"]) for r in left) == ["1", "2", "3", "4", "5", "6", "7", "None"]
     assert left[0]["score"] == "extra score"
+    texts = spark.createDataFrame([("1", "a b c d e f"), ("x", "a b c d e f"), ("2", "A b c d e f")], "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(texts).collect()} == {(1, 1), (2, 1), (None, None)}
+    assert sorted(r["doc_id"] for r in minhash.deduplicated(texts).collect()) == ["1", "x"]
     assert minhash.near_duplicates(empty_documents(spark)).count() == 0 and minhash.deduplicated(empty_documents(spark)).count() == 0
 
 
@@ -335,6 +353,26 @@ def test_stages_take_odd_rows(spark, tmp_path):
         corpus_pipeline.STAGES[-1][1](spark, state, folder).count()
 
 
+def test_stages_keep_any_column(spark, tmp_path):
+    """Columns named like results, with signs in their names, and of all kinds come out with the values that went in."""
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "not in there")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rng = random.Random(21)
+    names = ["Score", "predicted", "a.b", "a`tick", "Toxic_Terms", "c0", "c1", "Same", "own", "digest", "spans", "gone", "body", "items", "N_hit", "with space", "id", "k", "n"]
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 70))) for i in range(6)], "doc_id long, text string")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    docs = docs.withColumns({"at": F.lit("2024-05-06 07:08:09").cast("timestamp"), "money": F.lit("1.25").cast("decimal(9,2)"), "map": F.create_map(F.lit("x"), F.col("doc_id")), "pair": F.struct(F.lit(1).alias("p"), F.array(F.lit("q")).alias("q"))})
+    want = sorted(map(str, docs.collect()))
+    state = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        state = stage(spark, state, folder)
+        assert state.columns == docs.columns and sorted(map(str, state.collect())) == want
+
+
 # --- queries against SQL ---
 
 

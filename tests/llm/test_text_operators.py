@@ -57,43 +57,54 @@ def counter():
     return unigram.UnigramCounter(tokenizer_path("piece_bpe_32k.model"))
 
 
-def slow_viterbi(pieces, unknown, text):
-    """All paths, left to right; of equal scores the piece that starts first."""
-    best = [(0.0, 0)] + [None] * len(text)
-    for end in range(1, len(text) + 1):
-        for start in range(end):
-            gain = pieces.get(text[start:end])
-            size = 1
-            if gain is None and start == end - 1:
-                gain, size = unknown, len(text[start].encode())
-            if gain is not None and best[start] is not None and (best[end] is None or best[start][0] + gain > best[end][0]):
-                best[end] = (best[start][0] + gain, best[start][1] + size)
-    return best[-1][1], best[-1][0]
-
-
-def test_token_counts_against_all_paths(counter):
-    from sentencepiece import SentencePieceProcessor
-
-    lib = SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
-    pieces = {lib.id_to_piece(i).replace("▁", " "): lib.get_score(i) for i in range(lib.get_piece_size()) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))}
-    rng = random.Random(1)
-    for _ in range(200):
-        text = "".join(rng.choice("the aeiou nst\n  éß字😀▁x.,") for _ in range(rng.randint(1, 25)))
-        assert counter.count(text) == slow_viterbi(pieces, counter.unknown, " " + text.replace("▁", " ")), text
-
-
-def test_token_counts_have_the_librarys_best_score(counter):
+def unigram_library(pieces=None):
+    """The tokenizers' own unigram model: of the vocabulary file read as one, or of the pieces given."""
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     from sentencepiece import SentencePieceProcessor
 
     model = pb.ModelProto()
-    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
-        model.ParseFromString(f.read())
-    model.trainer_spec.model_type = 1  # the same vocabulary, read as a unigram model
-    lib = SentencePieceProcessor(model_proto=model.SerializeToString())
-    for w in sorted({w for w in words(random.Random(2), 300) if w.isascii()}):
-        paths = lib.nbest_encode_as_pieces(w, 4)
-        assert counter.count(w)[1] == max(sum(lib.get_score(lib.piece_to_id(p)) for p in path) for path in paths)
+    if pieces is None:
+        with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+            model.ParseFromString(f.read())
+    else:
+        model.normalizer_spec.name, model.normalizer_spec.remove_extra_whitespaces = "identity", False
+        for piece, score, kind in [("<unk>", 0, 2), *((p.replace(" ", "▁"), s, 1) for p, s in pieces.items())]:
+            model.pieces.add(piece=piece, score=score, type=kind)
+    model.trainer_spec.model_type = 1
+    return SentencePieceProcessor(model_proto=model.SerializeToString())
+
+
+def test_token_counts_equal_the_library(counter):
+    import pyarrow.parquet as pq
+
+    lib, rng = unigram_library(), random.Random(1)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    parts = ["the", "one", "re", " ", " ", "  ", "\n", "on", "a", "世", "ly", "ea", ".", "q", "Z", "▁", "😀", "ß", "\0", "\t", "lyeaea", "rechaux"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    texts += [" ", "   ", "x" * 3000, "the" * 200, " the" * 300, "the onere\n\n one onere", " ".join(words(rng, 500))]
+    got = counter.counts(texts)
+    assert [n for n, _ in got] == [len(lib.encode(t)) for t in texts]
+    assert [counter.best(" " + t.replace("▁", " "))[0] for t in texts[:150] + texts[-900:]] == [n for n, _ in got[:150] + got[-900:]]
+
+
+def test_forgotten_cuts_are_counted_again(monkeypatch):
+    monkeypatch.setattr(unigram, "KEPT", 50)
+    monkeypatch.setattr(unigram, "TOGETHER", 7)
+    monkeypatch.setattr(unigram, "LONG", 6)
+    counter, lib, rng = unigram.UnigramCounter(tokenizer_path("piece_bpe_32k.model")), unigram_library(), random.Random(5)
+    for _ in range(20):
+        texts = [" ".join(words(rng, 30)) for _ in range(5)]
+        assert [n for n, _ in counter.counts(texts)] == [len(lib.encode(t)) for t in texts]
+
+
+def test_other_vocabularies_equal_the_library():
+    """Scores that are no whole numbers: 32-bit sums over whole texts. Without byte fallback an unknown letter is a token."""
+    rng = random.Random(6)
+    pieces = {a: -rng.random() * 9 for a in " abcd"} | {"".join(rng.choice("abcd ") for _ in range(rng.randint(2, 5))): -rng.random() * 20 for _ in range(120)}
+    counter, lib = unigram.UnigramCounter(pieces=pieces), unigram_library(pieces)
+    for _ in range(300):
+        text = "".join(rng.choice("abcd  ") for _ in range(rng.randint(1, 400)))
+        assert counter.counts([text])[0][0] == len(lib.encode(text))
 
 
 def test_token_counts_of_odd_rows(spark, counter):
