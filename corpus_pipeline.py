@@ -1,60 +1,5 @@
-"""A training corpus from raw documents, in five stages, each one operator of ledgerfold.llm.
+"""The corpus pipeline of ledgerfold.llm: STAGES, run(spark, sf_dir) and ORACLE_SQL."""
 
-toxicity         documents that the lexicon scores at its threshold or more go
-near_duplicates  of documents alike (5-word shingles, similarity 0.8) the one of the smallest id stays
-substring        passages of 50 words or more that an earlier document has are cut out; what is then empty goes
-decontamination  documents with a benchmark's 10-word window go
-bpe              texts become token ids, and the ids text again
+from ledgerfold.llm.pipeline import ORACLE_SQL, STAGES, run
 
-Each stage takes all that its predecessor kept. Documents without an id stay in every stage but for their own text:
-toxic or contaminated ones go. Repeated rows are copies: one stays.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgerfold.llm import bpe, decontam, minhash, substring, toxicity
-from ledgerfold.llm.common import read_table, written
-
-
-def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    lexicon = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.toxic(docs, lexicon).where(F.col("predicted") == 0).select(*docs.columns)
-
-
-def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicated(docs)
-
-
-def stage_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring.without_passages(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
-
-
-def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
-
-
-def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(docs).select("doc_id", F.col("decoded").alias("text"), "n_tokens", "ids")
-
-
-STAGES = [
-    ("toxicity", stage_toxicity),
-    ("near_duplicates", stage_near_duplicates),
-    ("substring", stage_substring),
-    ("decontamination", stage_decontamination),
-    ("bpe", stage_bpe),
-]
-
-#: No stage but the fourth can be said in SQL: the first and last depend on a learnt lexicon and a vocabulary file.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
