@@ -210,19 +210,52 @@ def test_main_text():
     assert html_main.main_text(PAGE) == "The title & more\n\nFirst paragraph with bold <text> and a line break of some length to read.\n\nSecond paragraph, unclosed, also with some length to read.\n\ncell one\n\ncell two\n\nShort."
 
 
-@pytest.mark.parametrize("source", [None, "", "   ", "<", "<p", "<!--", "<script>", "</p></p>", "<a href='x>y", "&#0;&bad;", "<div " * 2000, "<p>" * 5000, "a < b > c"])
+@pytest.mark.parametrize("source", [None, "", "   ", "<", "<p", "<!--", "<script>", "</p></p>", "<a href='x>y", "&#0;&bad;", "<div " * 2000, "<p>" * 5000, "<a" * 20_000, "<svg>" * 20_000, "<noscript>x" * 20_000, "<button>" * 20_000, "<a href=x>" * 20_000, "a < b > c"])
 def test_broken_html_gives_something(source):
     assert isinstance(html_main.main_text(source), str)
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<html><head><title>t</title><p>Article text.", "Article text."), ("<title>t</title><meta charset=x>Bare text", "Bare text"), ("<body><p>Short</p>", "Short"), ("<div>Hello world</div>", "Hello world"),
+        ('<article><ul class="social-list-of-facts"><li>one fact</li><li>two facts</li></ul></article>', "one fact\n\ntwo facts"), ("<article><p>Hi</article><footer>by us, with all the words of a whole sentence in it.</footer>", "Hi"),
+        ("<body><button>Go<p>After an open button.</p>", "Go\n\nAfter an open button."), ("<button>Go</button><p>After.</p>", "After."), ("<select><option>a<option>b</select><p>After.</p>", "After."), ("<video><p>no video</p></video><p>After.</p>", "After."), ("<map><p>In a map.</p></map>", "In a map."),
+        ("<a href=x>open <p>one two.</p><p>three.</p>", "open\n\none two.\n\nthree."), ('<div class="comments"><article class="comment"><p>' + "A reader says this. " * 40 + "</p></article></div><p>The text.</p>", "The text."),
+        ("<header><h1>Site</h1></header><p>The text.</p>", "The text."), ("<article><header><h1>Title</h1></header><p>The text.</p></article>", "Title\n\nThe text."), ("<form><p>Your name:</p><p>Subscribe</p></form><p>The text.</p>", "The text."), ('<body class="home page-sidebar nav-open"><p>The text.</p>', "The text."),
+    ],
+)
+def test_what_is_content(source, text):
+    assert html_main.main_text(source) == text
+
+
+LONG_TEXT = "A paragraph of an article that says something at some length, as paragraphs of articles do."
+
+
+def test_the_cut_overrules_costs():
+    """Blocks whose own cost has the wrong sign, put right by what is near them."""
+    linked = html_main.Page().read(f'<div><p>{LONG_TEXT}</p><p><a href="x">A line that is a link</a></p><p>{LONG_TEXT}</p></div>')
+    assert [b.cost > 0 for b in linked.blocks] == [True, False, True] and html_main.content(linked) == [True] * 3
+    advert = html_main.Page().read(f'<div class="ad">{LONG_TEXT}</div><article><p>{LONG_TEXT}</p></article>')
+    assert all(b.cost > 0 for b in advert.blocks) and html_main.content(advert) == [False, True]
+    whole = html_main.Page().read(f'<form id="aspnetForm">{f"<p>{LONG_TEXT * 4}</p>" * 3}</form>')  # a form around a page
+    assert html_main.content(whole) == [True] * 3
+    partly = html_main.Page().read(f'<div class="popup-facts"><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div>')
+    assert partly.elements[0].capacity == -3 and html_main.content(partly) == [True] * 3
+
+
 def test_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
-        n = rng.randint(2, 9)
-        blocks = [html_main.Block("t", rng.uniform(-3, 3), rng.randrange(3), rng.randrange(1, 4)) for _ in range(n)]
+        n, m = rng.randint(2, 7), rng.randint(0, 3)
+        elements = [html_main.Element(rng.uniform(-4, 4), rng.uniform(0, 3), rng.randrange(-1, k)) for k in range(m)]
+        blocks = [html_main.Block("t", rng.uniform(-3, 3), rng.randrange(3), rng.randrange(1, 4), rng.randrange(-1, m)) for _ in range(n)]
 
-        def total(labels):
+        def total(labels, kinds):
             cost = sum(abs(b.cost) for b, keep in zip(blocks, labels) if keep != (b.cost > 0))
+            cost += sum(abs(e.capacity) for e, keep in zip(elements, kinds) if keep != (e.capacity > 0))
+            cost += sum(html_main.AROUND for e, keep in zip(elements, kinds) if e.around >= 0 and kinds[e.around] != keep)
+            cost += sum(elements[b.element].edge for b, keep in zip(blocks, labels) if b.element >= 0 and kinds[b.element] != keep)
             last = {}
             for i, b in enumerate(blocks):
                 near = last.get(b.container)
@@ -233,13 +266,20 @@ def test_cut_is_minimal():
                 last[b.container] = i
             return cost
 
-        assert total(html_main.content(blocks)) <= min(total(x) for x in itertools.product([False, True], repeat=n)) + 1e-6
+        kinds = list(itertools.product([False, True], repeat=m))
+        least = min(total(x, k) for x in itertools.product([False, True], repeat=n) for k in kinds)
+        assert min(total(html_main.content(html_main.Page(blocks, elements)), k) for k in kinds) <= least + 1e-6
 
 
 def test_pages_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (2, "v", ""), (2, "v", "")], "page_id long, url string, html string")
     got = sorted((str(r["page_id"]), r["n_chars"]) for r in html_main.extract(pages).collect())
     assert got == [("1", len(html_main.main_text(PAGE))), ("2", 0), ("2", 0), ("None", 0)]
+    assert html_main.extract(pages.where("page_id = 5")).count() == 0
+    long = f"<article>{'<p>' + LONG_TEXT + '</p>'}" * 1 + f"<p>{LONG_TEXT}</p>" * 20_000 + "</article>"
+    extra = spark.createDataFrame([("a", long, 1, 2.0)], "page_id string, html string, text int, `n.chars` double").selectExpr("*", "'u' AS url")
+    r = html_main.extract(extra).first()
+    assert (r["page_id"], r["url"], r["n_chars"]) == ("a", "u", 20_001 * (len(LONG_TEXT) + 2) - 2)
 
 
 # --- 9 ---
