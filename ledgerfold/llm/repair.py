@@ -8,8 +8,9 @@ overlap, until no pair is found LEAST times; the ends of documents are never par
 
 File format: Parquet, a row for each shard: part and shard (the order), part_start (ids before the shard in its part),
 n_tokens, doc_ids, doc_at (where each document's symbols begin), doc_tokens (its ids), rules (pairs, in the order of
-their nonterminals), rule_tokens (expansion lengths), symbols, base (the first nonterminal) and width (bytes a symbol).
-Numbers in binary columns are little-endian and unsigned, 32 bits but for symbols.
+their nonterminals), rule_tokens (expansion lengths), symbols, n_symbols, base (the first nonterminal) and bits. Numbers in
+binary columns are little-endian and unsigned, of 32 bits; those of rules and symbols have `bits` bits: first the low 16
+bits of all of them, then each further bit as a plane of one bit a number.
 
 Null texts count as empty: the end id alone. Null document ids come first; repeated ids stay rows of their own, ordered
 by text. An empty table gives an empty table. Extra columns are ignored. Only one number for each part (of as many
@@ -32,8 +33,6 @@ from .common import per_worker, picked, slices, tokenizer_path, whole_number
 from .hashing import words_in
 
 END_ID, SHARD_IDS, LEAST = 1, 1 << 20, 4
-#: When a round finds so few pairs, all pairs are counted exactly to see whether any are left.
-FEW = 64
 DOCS_A_BATCH = 1000
 #: A word may have ASCII signs after it. Where it ends in a letter that normalises to itself or its lower case, or in a
 #: digit, the tokenizer splits between the two, whatever stands around them.
@@ -42,9 +41,9 @@ SIGNS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = T
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 SAFE_END = re.compile(r".*[0-9A-Za-zÀ-ÖØ-öø-ÿ]", re.S).fullmatch
 
-SHARD_SCHEMA = "part int, shard int, part_start long, n_tokens long, doc_ids array<long>, doc_at binary, doc_tokens binary, rules binary, rule_tokens binary, symbols binary, base int, width int"
+SHARD_SCHEMA = "part int, shard int, part_start long, n_tokens long, doc_ids array<long>, doc_at binary, doc_tokens binary, rules binary, rule_tokens binary, symbols binary, n_symbols int, base int, bits int"
 SHARD_FIELDS = pa.schema(
-    [("part", pa.int32()), ("shard", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_at", pa.binary()), ("doc_tokens", pa.binary()), ("rules", pa.binary()), ("rule_tokens", pa.binary()), ("symbols", pa.binary()), ("base", pa.int32()), ("width", pa.int32())]
+    [("part", pa.int32()), ("shard", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_at", pa.binary()), ("doc_tokens", pa.binary()), ("rules", pa.binary()), ("rule_tokens", pa.binary()), ("symbols", pa.binary()), ("n_symbols", pa.int32()), ("base", pa.int32()), ("bits", pa.int32())]
 )
 
 
@@ -171,31 +170,66 @@ def batches_of(texts: list[str | None], chars: int = 1 << 17):
         yield range(start, len(texts))
 
 
-def most_frequent(seq: np.ndarray, end_id: int) -> int:
-    """How often the most frequent pair without an end id is found; one that overlaps itself (x x x) counts where it
-    can be replaced."""
-    pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
-    twin = np.flatnonzero(seq[:-1] == seq[1:])
-    head = np.maximum.accumulate(np.where(np.diff(twin, prepend=-2) > 1, np.arange(len(twin)), 0))
-    fine = (seq[:-1] != end_id) & (seq[1:] != end_id)
-    fine[twin[(np.arange(len(twin)) - head) % 2 == 1]] = False
-    pair = np.sort(pair[fine])
-    return int(np.diff(np.flatnonzero(np.append(True, pair[1:] != pair[:-1])), append=len(pair)).max()) if len(pair) else 0
+def replaced(seq: np.ndarray, at: np.ndarray, own: np.ndarray, urgency: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Replaces pairs at places `at` (ascending). own: which pair stands at each; urgency: of each pair, 0 for those left
+    alone. Where pairs overlap (they begin at neighbouring places), of one pair again and again (x x x) every second
+    place is taken, else the more urgent one. Gives the new sequence, the places kept of the old one, the places taken,
+    and the pairs used, in the order of their symbols from `first` on."""
+    value = urgency[own]
+    at, own, value = at[value > 0], own[value > 0], value[value > 0]
+    touch = np.diff(at) == 1
+    left = np.where(np.append(False, touch), np.append(0, value[:-1]), 0)
+    right = np.where(np.append(touch, False), np.append(value[1:], 0), 0)
+    same = left == value
+    place = np.arange(len(at))
+    head = np.maximum.accumulate(np.where(same, 0, place))
+    take = (value > np.where(same, 0, left)) & (value >= right) & ((place - head) % 2 == 0)
+    take[1:] &= ~(take[:-1] & touch)
+    spot, chosen = at[take], own[take]
+    used = np.zeros(len(urgency), bool)
+    used[chosen] = True
+    new = np.flatnonzero(used)
+    name = np.zeros(len(urgency), seq.dtype)
+    name[new] = np.arange(first, first + len(new))
+    seq[spot] = name[chosen]
+    keep = np.ones(len(seq), bool)
+    keep[spot + 1] = False
+    return seq[keep], keep, spot, new
+
+
+def moved(live: np.ndarray, keep: np.ndarray, spot: np.ndarray, size: int) -> np.ndarray:
+    """Places after a replacement: those of before that are left, and those beside a symbol just made."""
+    to = np.cumsum(keep) - 1
+    mark = np.zeros(size + 1, bool)
+    mark[to[live[keep[live]]]] = True
+    made = to[spot]
+    mark[made] = True
+    mark[made[made > 0] - 1] = True
+    return np.flatnonzero(mark[: max(0, size - 1)])
+
+
+def ranked(found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Urgency by frequency: of the pairs `often`, the most frequent one has the highest number."""
+    urgency = np.zeros(len(found), np.int32)
+    urgency[often[np.argsort(-found[often], kind="stable")]] = np.arange(len(often), 0, -1)
+    return urgency
 
 
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """Re-Pair: symbols and rules (pairs; rule k is symbol base + k). Each round counts all pairs, gives those found
-    often a nonterminal, and replaces them; the bar falls from round to round, and rounds go on until no pair is found
-    LEAST times. Pairs are counted in a table by their hash (another one in each round), where of two that fall on one
-    place one waits for a later round. With a vocabulary of less than
-    1 << 16, symbols stay at 16 bits and rules end when these are used up: more rules save fewer symbols than wider ones cost."""
+    """Re-Pair: symbols and rules (pairs; rule k is symbol base + k). Each round counts pairs, gives those found often a
+    nonterminal, and replaces them, until no pair is found LEAST times.
+
+    While the bar for "often" falls, all pairs are counted in a table by their hash, where of two that fall on one place
+    one waits. After that only places that can matter are counted, by sorting: a pair's number never grows but
+    for pairs with a symbol just made, so these and the places whose table entry had reached LEAST are all there are."""
     small = base < 1 << 16
     kind, half = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
-    most_rules = (1 << 16 if small else 1 << 31) - base
     seq, rules, made = ids.astype(kind), [], 0
+    live = np.arange(max(0, len(seq) - 1))  # places whose pair may be found LEAST times
     for k in count():
-        bar = max(LEAST, len(seq) >> (8 + 3 * k))
-        if len(seq) < 2 or made >= most_rules:
+        bar = len(seq) >> (8 + 3 * k)
+        room = (1 << 16) - base - made if small else len(seq)
+        if bar <= LEAST or room <= 0:
             break
         pair = (seq[:-1] << half) | seq[1:]
         odd = (0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF
@@ -209,45 +243,49 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         holder = np.zeros(1 << 20, kind)
         holder[slot] = pair
         found = np.bincount(slot, minlength=1 << 20)
+        live = np.flatnonzero(np.take(found >= LEAST, slot))
         found[0] = 0
-        at = np.flatnonzero(np.take(found >= bar, slot))
+        at = live[np.take(found, slot[live]) >= bar]
         own = slot[at]
         mine = np.take(holder, own) == pair[at]
         at, own = at[mine], own[mine]
         found = np.bincount(own, minlength=1 << 20)
         often = np.flatnonzero(found >= bar)
-        often = often[np.argsort(-found[often], kind="stable")][: most_rules - made]
-        if bar == LEAST and len(often) < FEW and most_frequent(seq, end_id) < LEAST:
-            break
+        often = often[np.argsort(-found[often], kind="stable")][:room]
         if not len(often):
             continue
-        urgency = np.zeros(1 << 20, np.int32)
-        urgency[often] = np.arange(len(often), 0, -1)
-        value = np.take(urgency, own)
-        at, own, value = at[value > 0], own[value > 0], value[value > 0]
-        # where pairs overlap (they begin at neighbouring places): of one pair again and again (x x x) every second
-        # place, else the more urgent one
-        touch = np.diff(at) == 1
-        left = np.where(np.append(False, touch), np.append(0, value[:-1]), 0)
-        right = np.where(np.append(touch, False), np.append(value[1:], 0), 0)
-        same = left == value
-        place = np.arange(len(at))
-        head = np.maximum.accumulate(np.where(same, 0, place))
-        take = (value > np.where(same, 0, left)) & (value >= right) & ((place - head) % 2 == 0)
-        take[1:] &= ~(take[:-1] & touch)
-        spot, chosen = at[take], own[take]
-        used = np.zeros(1 << 20, bool)
-        used[chosen] = True
-        new = np.flatnonzero(used)
-        name = np.zeros(1 << 20, kind)
-        name[new] = np.arange(base + made, base + made + len(new))
+        seq, keep, spot, new = replaced(seq, at, own, ranked(found, often), base + made)
         rules.append(np.column_stack([holder[new] >> half, holder[new] & kind((1 << int(half)) - 1)]).astype(np.int64))
         made += len(new)
-        seq[spot] = name[chosen]
-        keep = np.ones(len(seq), bool)
-        keep[spot + 1] = False
-        seq = seq[keep]
-    return seq.astype(np.int64), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+        live = moved(live, keep, spot, len(seq))
+    seq = seq.astype(np.int64)
+    while len(live):
+        live = live[(seq[live] != end_id) & (seq[live + 1] != end_id)]
+        kinds, own, found = np.unique((seq[live] << 32) | seq[live + 1], return_inverse=True, return_counts=True)
+        often = np.flatnonzero(found >= LEAST)
+        if not len(often):
+            break
+        frequent = found[own] >= LEAST
+        live, own = live[frequent], own[frequent]
+        seq, keep, spot, new = replaced(seq, live, own, ranked(found, often), base + made)
+        rules.append(np.column_stack([kinds[new] >> 32, kinds[new] & 0xFFFFFFFF]))
+        made += len(new)
+        live = moved(live, keep, spot, len(seq))
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+
+
+def squeezed(symbols: np.ndarray, bits: int) -> bytes:
+    """Numbers of `bits` bits: their low 16 bits, then each further bit of all numbers as a plane of its own."""
+    planes = [np.packbits((symbols >> k & 1).astype(np.uint8), bitorder="little").tobytes() for k in range(16, bits)]
+    return b"".join([(symbols & 0xFFFF).astype("<u2").tobytes(), *planes])
+
+
+def unsqueezed(raw: bytes, bits: int, n: int) -> np.ndarray:
+    out, size = np.frombuffer(raw, "<u2", n).astype(np.int64), (n + 7) // 8
+    for k in range(16, bits):
+        plane = np.frombuffer(raw, np.uint8, size, 2 * n + (k - 16) * size)
+        out |= np.unpackbits(plane, count=n, bitorder="little").astype(np.int64) << k
+    return out
 
 
 class Grammar:
@@ -270,6 +308,14 @@ class Grammar:
         return self.blob[np.repeat(self.offset[symbols] - start, size) + np.arange(int(size.sum()))]
 
 
+def lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each nonterminal stands for."""
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((1 if a < base else out[a - base]) + (1 if b < base else out[b - base]))
+    return np.array(out, np.int64)
+
+
 def pack(part: int, shard: int, part_start: int, doc_ids: list, ids: np.ndarray, counts: np.ndarray, base: int, end_id: int) -> pa.RecordBatch:
     """A shard of documents' ids and how many each has, its end ids not yet among them."""
     # a text may have the end id itself, so documents are parted by a symbol outside the vocabulary while pairs are made
@@ -279,9 +325,8 @@ def pack(part: int, shard: int, part_start: int, doc_ids: list, ids: np.ndarray,
     ends = np.flatnonzero(symbols == parting)
     symbols[ends] = end_id
     tokens = (counts + 1).astype("<u4")
-    size = Grammar(rules, base).size[base:]
-    width = 2 if base + len(rules) <= 1 << 16 else 4
-    row = {"part": part, "shard": shard, "part_start": part_start, "n_tokens": len(ids), "doc_ids": doc_ids, "doc_at": np.concatenate([[0], ends[:-1] + 1]).astype("<u4").tobytes(), "doc_tokens": tokens.tobytes(), "rules": rules.astype("<u4").tobytes(), "rule_tokens": size.astype("<u4").tobytes(), "symbols": symbols.astype(f"<u{width}").tobytes(), "base": base, "width": width}
+    bits = max(16, int(base + len(rules) - 1).bit_length())
+    row = {"part": part, "shard": shard, "part_start": part_start, "n_tokens": len(ids), "doc_ids": doc_ids, "doc_at": np.concatenate([[0], ends[:-1] + 1]).astype("<u4").tobytes(), "doc_tokens": tokens.tobytes(), "rules": squeezed(rules.ravel(), bits), "rule_tokens": lengths(rules, base).astype("<u4").tobytes(), "symbols": squeezed(symbols, bits), "n_symbols": len(symbols), "base": base, "bits": bits}
     return pa.RecordBatch.from_pylist([row], schema=SHARD_FIELDS)
 
 
@@ -302,7 +347,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
             shard, start, doc_ids, ids, counts, n = shard + 1, start + n, [], [], [], 0
             return out
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             words = words or per_worker(("words", tokenizer), lambda: WordIds(tokenizer))
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for span in batches_of(texts, chars):
@@ -320,14 +365,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
 
 def unpacked(row: dict) -> tuple[Grammar, np.ndarray, np.ndarray, np.ndarray]:
-    rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
-    return Grammar(rules, row["base"]), np.frombuffer(row["symbols"], f"<u{row['width']}"), np.frombuffer(row["doc_at"], "<u4"), np.frombuffer(row["doc_tokens"], "<u4")
+    rules = unsqueezed(row["rules"], row["bits"], len(row["rule_tokens"]) // 2).reshape(-1, 2)
+    return Grammar(rules, row["base"]), unsqueezed(row["symbols"], row["bits"], row["n_symbols"]), np.frombuffer(row["doc_at"], "<u4"), np.frombuffer(row["doc_tokens"], "<u4")
 
 
 def tokens_of(row: dict, k: int, first: int = 0, last: int | None = None) -> np.ndarray:
     """Random access: ids first..last of document k of a shard. Expansion lengths tell which symbols to expand."""
     grammar, symbols, at, tokens = unpacked(row)
-    own = symbols[at[k] : at[k + 1] if k + 1 < len(at) else len(symbols)].astype(np.int64)
+    own = symbols[at[k] : at[k + 1] if k + 1 < len(at) else len(symbols)]
     last = int(tokens[k]) if last is None else min(last, int(tokens[k]))
     if first >= last:
         return np.zeros(0, np.uint32)
@@ -350,7 +395,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 grammar, symbols, _, tokens = unpacked(row)
-                ids = grammar.expand(symbols.astype(np.int64))
+                ids = grammar.expand(symbols)
                 bounds = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
                 for lo in range(0, len(tokens), DOCS_A_BATCH):
                     hi = min(lo + DOCS_A_BATCH, len(tokens))

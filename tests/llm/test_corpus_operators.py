@@ -247,7 +247,7 @@ def test_shards_with_the_end_id_in_a_text_are_compressed():
         docs = [np.concatenate([phrase, rng.integers(0, 40_000, 20), [repair.END_ID], phrase]) for _ in range(60)] + [np.array([], np.int64), np.array([1, 1, 1])]
         counts = np.array([len(x) for x in docs])
         row = repair.pack(0, 0, 0, list(range(len(docs))), np.concatenate(docs).astype(np.uint32), counts, base, repair.END_ID).to_pylist()[0]
-        assert len(row["rules"]) and len(row["symbols"]) // row["width"] < len(np.concatenate(docs)) / 3
+        assert len(row["rules"]) and row["n_symbols"] < len(np.concatenate(docs)) / 3
         for k, d in enumerate(docs):
             assert repair.tokens_of(row, k).tolist() == [*d.tolist(), repair.END_ID]
 
@@ -266,6 +266,35 @@ def test_no_frequent_pair_is_left(base):
     assert max(map(len, places.values())) < repair.LEAST
 
 
+def test_rules_go_on_beyond_16_bits():
+    """A shard of the tables with texts that hold the end id: no frequent pair is left, and it comes back whole."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts += ['print("$x")', 'href="#a">'] * 3
+    coder = repair.WordIds(tokenizer_path("word_bpe_49k.json"))
+    ids, counts = coder.encode(texts)
+    assert (ids == repair.END_ID).any()
+    row = repair.pack(0, 0, 0, list(range(len(texts))), ids, counts, coder.size, repair.END_ID).to_pylist()[0]
+    assert row["bits"] == 17 and len(row["rule_tokens"]) // 4 + row["base"] > 1 << 16
+    grammar, symbols, at, tokens = repair.unpacked(row)
+    assert grammar.size[row["base"] :].tolist() == np.frombuffer(row["rule_tokens"], "<u4").tolist()
+    assert grammar.expand(symbols).tolist() == np.insert(ids, np.cumsum(counts), repair.END_ID).tolist() and tokens.tolist() == (counts + 1).tolist()
+    ends = set((at[1:] - 1).tolist())
+    pairs = [(a, b) for k, (a, b) in enumerate(zip(symbols.tolist(), symbols[1:].tolist())) if k not in ends and k + 1 not in ends and a != b]
+    found = np.unique(np.array(pairs[:-1]), axis=0, return_counts=True)[1]
+    assert found.max() < repair.LEAST
+
+
+@pytest.mark.parametrize("bits", [16, 17, 23])
+def test_numbers_squeezed(bits):
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 7, 8, 9, 1000):
+        x = rng.integers(0, 1 << bits, n)
+        raw = repair.squeezed(x, bits)
+        assert repair.unsqueezed(raw, bits, n).tolist() == x.tolist() and len(raw) == 2 * n + (bits - 16) * ((n + 7) // 8)
+
+
 def test_words_equal_the_library():
     rng, coder = random.Random(6), repair.WordIds(tokenizer_path("word_bpe_49k.json"), bits=5)
     letters = "aaabceht  \n\t'sr<|endoftext|><|startoftext|>éßñ字١½\x85\x1c 　​0123!?*#İſΣ\u0301"
