@@ -30,7 +30,7 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(read_table(spark, sf_dir, "pages"))
+    return urls.judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
 
 
 def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

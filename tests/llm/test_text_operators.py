@@ -2,7 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -132,25 +135,59 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
 
 
-def test_segmentation_is_the_cheapest(spark):
-    bayes = urls.NaiveBayes(["free bets", "pills", "bet s"], ["news free", "be"])
-
-    def cheapest(label):
-        best = None
-        for k in range(len(label)):
-            for cuts in itertools.combinations(range(1, len(label)), k):
-                parts = [label[i:j] for i, j in zip((0, *cuts), (*cuts, len(label)))]
-                known = [p in bayes.cost for p in parts]
-                if any(not a and not b for a, b in zip(known, known[1:])):
-                    continue  # unknown runs are whole
-                c = sum(bayes.cost[p] if ok else bayes.unknown(len(p)) for p, ok in zip(parts, known))
-                best = min(best or (c, parts), (c, parts), key=lambda x: round(x[0], 9))
-        return best
-
-    for label in ("freebets", "xfreebets", "freexxbets", "newspills", "bets", "zzz", "freenewsbe"):
-        c, _ = cheapest(label)
-        got = sum(bayes.cost.get(p, bayes.unknown(len(p))) for p in bayes.split(label))
-        assert abs(got - c) < 1e-9 and "".join(bayes.split(label)) == label
+def cheapest_words(name, share, unknown):
+    """All ways to cut a name: known words at -log of their share, runs of unknown letters at `unknown` and log(10) a letter."""
+    best = None
+    for k in range(len(name)):
+        for cuts in itertools.combinations(range(1, len(name)), k):
+            parts = [name[i:j] for i, j in zip((0, *cuts), (*cuts, len(name)))]
+            known = [p in share for p in parts]
+            if any(not x and not y for x, y in zip(known, known[1:])):
+                continue  # unknown runs are whole
+            c = sum(-math.log(share[p]) if ok else unknown + math.log(10) * len(p) for p, ok in zip(parts, known))
+            best = min(best or (c, parts), (c, parts), key=lambda x: round(x[0], 9))
+    return best
+
+
+def test_verdicts_against_brute_force(spark):
+    blocked, allowed = ["free bets", "pills", "bet s", "wettbüro"], ["news free", "be", "york times"]
+    documents = ["New York times, new YORK Times! Büro 42 be2", None, "", "bets news of the new york pills", "free 4 free"]
+    hosts = ["freebets", "xfreebets", "freexxbets", "newspills", "zzz", "freenewsbe", "newyorktimes", "wettbüro", "be2bets", "free-bets", "a.newyork", "42pills"]
+    rows = [(k, f"http://{h}.org/{p}") for k, h in enumerate(hosts) for p in ("", "bets/x.html", "news%20free?q")] + [(99, "http://freebets.com/"), (99, "http://freebets.com/"), (None, None)]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in rows], "page_id long, url string, `Host` int")
+    got = urls.judge(pages, spark.createDataFrame([(t,) for t in documents], "text string"), blocked=blocked, allowed=allowed).collect()
+    count = Counter(w for t in documents if t for w in re.findall(r"[^\W_]+", t.lower()) if len(w) > 1)
+    mine, total = [Counter(" ".join(x).split()) for x in (blocked, allowed)], sum(count.values())
+    every = mine[0] + mine[1]
+    share = {w: 0.1 * every[w] / sum(every.values()) + 0.9 * count[w] / total for w in every | count}
+    odds = {w: math.log((mine[0][w] + 0.5) / (sum(mine[0].values()) + 0.5 * len(every))) - math.log((mine[1][w] + 0.5) / (sum(mine[1].values()) + 0.5 * len(every))) for w in every}
+    want = []
+    for i, u in rows:
+        host, _, path = (u or "://").split("://", 1)[1].partition("/")
+        path = path.split("?")[0].replace("%20", " ")
+        names = re.findall(r"[^\W_]+", f"{host.removesuffix('.org')} {path}") if ".com" not in host else []
+        words = [w for n in names for w in cheapest_words(n, share, math.log(total + sum(every.values())))[1]]
+        z = math.log(0.25) + sum(odds.get(w, 0) for w in words)
+        want.append((str(i), ".com" in host, None if ".com" in host else words, None if ".com" in host else round(1 / (1 + math.exp(-z)), 9), "allow" if ".com" in host or z <= 0 else "block"))
+    assert sorted((str(r[0]), r["rule"] is not None, r["words"], r["block_probability"] and round(r["block_probability"], 9), r["verdict"]) for r in got) == sorted(want)
+    assert len({x[4] for x in want}) == 2 and ["new", "york", "times"] in [x[2] for x in want]
+
+
+def test_hosts_that_are_no_training_rows(spark):
+    """Kinds of hosts in the tables, none of which is a row of the lists, and others."""
+    bad = ["cheap-pills.example.org", "free-bets.example.net", "ads-track.example.org", "adult-x.example.net", "casino-win.example.org", "spam-farm.example.net", "bestonlinecasinos.info", "xxxvideostube.org", "replicawatchesbuy.net"]
+    good = ["newyorktimes.org", "universityofscience.edu", "myfoodblog.net", "weatherforecast.org", "tionsh.example.org", "citylibrary.net"]
+    assert not {h.split(".")[0].replace("-", " ") for h in bad} & set(urls.BLOCKED)
+    pages = spark.createDataFrame([(k, f"http://{h}/de/1.html") for k, h in enumerate(bad + good)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    assert [got[k] for k in range(len(bad + good))] == ["block"] * len(bad) + ["allow"] * len(good)
+
+
+def test_urls_of_odd_rows(spark):
+    pages = spark.createDataFrame([("a", "http://x.org/" + "ab" * 50_000, 1), ("a", "http://x.org/" + "ab" * 50_000, 1), (None, "", 2), ("b", None, 3)], "page_id string, url string, verdict int").withColumnRenamed("verdict", "ver.dict")
+    got = urls.judge(pages, empty_documents(spark)).collect()
+    assert sorted((str(r["page_id"]), r["verdict"]) for r in got) == [("None", "allow"), ("a", "allow"), ("a", "allow"), ("b", "allow")]
+    assert urls.judge(pages.where("page_id = 'c'"), empty_documents(spark)).count() == 0
 
 
 # --- 7 ---
