@@ -1,9 +1,10 @@
 """Operator 9: toxicity by a weighted lexicon.
 
-Text is folded (lower case, look-alike letters of other scripts, digits and signs that stand for letters inside a word,
-invisible characters), cut into words of letters, and scanned by one Aho-Corasick automaton whose entries are whole
-words and beginnings of words, each with a weight. A match inside an exception phrase does not count. The weights' sum
-and its share of the text's length go through a logistic curve to a score from 0 to 1.
+Text is folded (lower case, look-alike letters of other scripts, digits and signs that stand for letters in a word,
+letters spaced out, invisible characters), cut into words of letters, and scanned by one Aho-Corasick automaton whose
+entries are whole words and beginnings of words, each with a weight. Words with accents, strokes or small capitals are
+scanned without these too. A match inside an exception phrase does not count. The weights' sum and its share of the
+text's length go through a logistic curve to a score from 0 to 1.
 
 learn() makes the lexicon and the curve from labelled rows: entries are the words and word beginnings found in toxic
 documents far more often than in others (log odds, smoothed), beside a short fixed list of insults. It fits on at most
@@ -12,7 +13,8 @@ among them. Label, language, source and id are no inputs of a score.
 
 Null and empty texts have no words and get the score of a text without matches. Null ids are never held out and never
 learnt from; repeated rows stay rows of their own. Without labels the fixed list and default curve hold. Extra columns
-are ignored. The documents are not shuffled: the sampled ids (at most `sample`) are broadcast.
+are ignored; empty tables give empty tables. The documents are not shuffled: the sampled ids (at most `sample`) are
+broadcast, and the rows they find are written once.
 """
 
 from __future__ import annotations
@@ -29,25 +31,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, picked, restored, with_columns
+from .common import map_batches, picked, restored, with_columns, written
 
 SAMPLE, ENTRIES, THRESHOLD = 12_000, 600, 0.3
 #: Insults known without any labels.
 SEEDS = ["asshole", "bastard", "bitch", "cretin", "dumbass", "fuck", "fucking", "idiot", "imbecile", "moron", "retard", "scumbag", "shithead", "slut", "whore", "wanker", "arschloch", "hurensohn", "connard", "salope", "gilipollas", "pendejo"]
+#: Those of them that no harmless word begins with.
+STEMS = {"asshole", "bastard", "bitch", "dumbass", "fuck", "idiot", "imbecile", "moron", "scumbag", "shithead", "wanker", "arschloch", "hurensohn", "connard", "salope", "gilipollas", "pendejo"}
 SEED_WEIGHT = 3.0
 #: Phrases in which lexicon words insult nobody.
-EXCEPTIONS = ["trash can", "trash bin", "trash bag", "take out the trash", "taking out the trash", "clown fish", "circus clown", "class clown", "sore loser", "pathetic fallacy", "dostoevsky s the idiot", "idiot proof", "idiot s guide", "pond scum", "scum layer"]
+EXCEPTIONS = ["trash can", "trash bin", "trash bag", "take out the trash", "taking out the trash", "clown fish", "circus clown", "class clown", "sore loser", "pathetic fallacy", "dostoevsky s the idiot", "idiot proof", "idiot s guide", "idiots guide", "moronic acid", "pond scum", "scum layer"]
 #: Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "г": "r", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "и": "u",
     "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k",
-    "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g",
+    "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ѵ": "v", "ѡ": "w", "ь": "b", "ҽ": "e", "ү": "y",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j", "լ": "l", "ϲ": "c", "ϳ": "j", "σ": "o", "δ": "d", "ƽ": "s", "ʟ": "l", "ſ": "s",
 }
 #: Digits and signs that stand for letters.
-DIGITS = str.maketrans("013457@$", "oieastas")
-INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF], None)
-FOLD = str.maketrans(LOOK_ALIKES) | INVISIBLE
-SUBSTITUTED = re.compile(r"(?<![0-9@$])[013457@$]+(?=[^\W\d_])")
+SIGNS = str.maketrans("0134578@$!#|+€£¡", "oieastbasihlteli")
+INVISIBLE = dict.fromkeys([0xAD, 0x34F, *range(0x200B, 0x2010), *range(0x2060, 0x2065), *range(0xFE00, 0xFE10), 0xFEFF], None)
+
+
+def look_alikes() -> dict[int, str]:
+    """The table above, and the letters that are one of its letters with a mark, stroke or hook, by their names."""
+    out = {ord(c): x for c, x in LOOK_ALIKES.items()}
+    for code in (*range(0x370, 0x590), *range(0x1C80, 0x1C90), *range(0x1F00, 0x2000), *range(0xA640, 0xA6A0)):
+        base = unicodedata.name(chr(code), "").split(" WITH ")[0]
+        try:
+            base = unicodedata.lookup(base)
+        except KeyError:
+            continue
+        if base in LOOK_ALIKES:
+            out[code] = LOOK_ALIKES[base]
+    return out
+
+
+def plain_letters() -> dict[int, str]:
+    """Latin letters with strokes, hooks and the like, small capitals and phonetic forms, by their names."""
+    named = re.compile(r"LATIN (?:SMALL LETTER|LETTER SMALL CAPITAL) (?:DOTLESS |TURNED |REVERSED |OPEN |SCRIPT |SMALL CAPITAL |LONG |SIDEWAYS )?([A-Z])(?: WITH .*)?$").match
+    return {code: m[1].lower() for code in (*range(0xDF, 0x2B0), *range(0x1D00, 0x1D80), *range(0x1E00, 0x1F00), *range(0x2C60, 0x2C80), *range(0xA720, 0xA800)) if (m := named(unicodedata.name(chr(code), "")))}
+
+
+FOLD = look_alikes() | INVISIBLE
+PLAIN = plain_letters()
+#: Digits and signs in a word: digits, @ and $ before a letter, one or two at a word's end, other signs between letters.
+SUBSTITUTED = re.compile(r"(?<![^\W\d_])[013457@$€]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$!#|+€£¡]+(?=[^\W\d_])|(?<=[^\W\d_])[013457@$€]{1,2}(?![\w@$€])")
+#: Four or more single letters with the same sign or space between them.
+SPACED = re.compile(r"(?<![\w])[^\W\d_]([ .\-_*·])(?:[^\W\d_]\1){2,}[^\W\d_](?![\w])")
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -56,20 +87,21 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         if not unicodedata.is_normalized("NFKC", text):
-            text = unicodedata.normalize("NFKC", text)
+            text = unicodedata.normalize("NFKC", text).lower()
         text = text.translate(FOLD)
-    return SUBSTITUTED.sub(lambda m: m[0].translate(DIGITS), text)
+    text = SUBSTITUTED.sub(lambda m: m[0].translate(SIGNS), text)
+    return SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
 
 
 def bare(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).translate(PLAIN)
 
 
 @dataclass
 class Lexicon:
     """weights: an entry is " word " or, for a beginning, " wor"."""
 
-    weights: dict[str, float] = field(default_factory=lambda: {f" {w} ": SEED_WEIGHT for w in SEEDS})
+    weights: dict[str, float] = field(default_factory=lambda: {f" {w}" if w in STEMS else f" {w} ": SEED_WEIGHT for w in SEEDS})
     curve: tuple[float, float, float] = (-4.0, 2.0, 1.0)
     exceptions: tuple[str, ...] = tuple(EXCEPTIONS)
 
@@ -83,7 +115,7 @@ class Scanner:
         self.all, self.plain = ahocorasick.Automaton(), ahocorasick.Automaton()
         for entry, weight in lexicon.weights.items():
             self.all.add_word(entry, (entry, weight))
-            if entry.isascii() and entry.endswith(" "):
+            if entry.isascii() and (entry.endswith(" ") or entry.strip() in STEMS):
                 self.plain.add_word(entry, (entry, weight))
         for phrase in lexicon.exceptions:
             self.all.add_word(f" {phrase} ", (f" {phrase} ", None))
@@ -140,9 +172,10 @@ def entries_of(text: str) -> set[str]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """Lexicon and curve from labelled rows outside the held-out part; brings counts of at most 20 * entries entries
     and two numbers for each sampled row to the driver."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max("toxic").cast("int").alias("y"))
+    known = picked(labels, k=id_col, y="toxic").where(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out("k")).groupBy("k").agg(F.max("y").cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("k"), "k").limit(sample)
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where(F.col("t") != "").join(F.broadcast(known), "k").select("t", "y")
+    rows = picked(docs, k=id_col, t=text_col).where(F.col("t") != "").join(F.broadcast(known), "k").select("t", "y")
+    rows = written(rows, "toxicity-sample")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     lexicon = Lexicon()
     if not totals.get(1) or not totals.get(0):

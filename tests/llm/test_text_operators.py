@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -322,13 +323,62 @@ def test_pages_of_odd_rows(spark):
 # --- 9 ---
 
 
-@pytest.mark.parametrize(("text", "hit"), [("you IDIOT", True), ("you 1d10t!", True), ("іdіоt", True), ("ï\u0064iot", True), ("ＩＤＩＯＴ", True), ("id\u00adiot", True), ("idiots guide", False), ("an idiot proof plan", False), ("10 times 4 is 40", False), ("", False), (None, False)])
+@pytest.mark.parametrize(("text", "hit"), [("you IDIOT", True), ("you 1d10t!", True), ("іdіоt", True), ("ï\u0064iot", True), ("ＩＤＩＯＴ", True), ("id\u00adiot", True), ("idiots", True), ("what an asshol3.", True), ("mor0n5", True), ("mor0n", True), ("b!tch", True), ("a b1+ch", True), ("i d i o t", True), ("an i.d.i.o.t here", True), ("ịđiøt", True), ("ɪᴅɪᴏᴛ", True), ("ёbc ідіоӊ", False), ("𝐢𝐝𝐢𝐨𝐭", True), ("іԁіот", True), ("ιdιoτ", True), ("a b c d e", False), ("idiosyncratic", False), ("flame retardant", False), ("that! is# fine", False), ("idiots guide", False), ("an idiot proof plan", False), ("10 times 4 is 40", False), ("", False), (None, False)])
 def test_lexicon_matches(text, hit):
     scanner = toxicity.Lexicon().scanner()
     score, terms, _ = scanner.score(text)
     assert bool(terms) == hit and (score > toxicity.Lexicon().scanner().score("")[0]) == hit
 
 
+def slow_score(lexicon, text, threshold):
+    """Score and terms by comparing every word with every entry."""
+    words = re.findall(r"[^\W\d_]+", toxicity.fold(text or ""))
+    phrases, spared = [p.split() for p in lexicon.exceptions], set()
+    for k in range(len(words)):
+        spared |= {k + j for p in phrases if words[k : k + len(p)] == p for j in range(len(p))}
+    total, terms = 0.0, []
+    for k, w in enumerate(words):
+        forms = {w, toxicity.bare(w)}
+        fits = [(x, e) for e, x in lexicon.weights.items() if any(f == e.strip() if e.endswith(" ") else f.startswith(e[1:]) and (f == w or e[1:] in toxicity.STEMS) for f in forms)]
+        if fits and k not in spared:
+            total += max(fits)[0]
+            terms.append(max(fits)[1].strip())
+    z = lexicon.curve[0] + lexicon.curve[1] * math.log1p(total) + lexicon.curve[2] * math.log1p(100 * total / max(len(words), 20))
+    score = 1 / (1 + math.exp(-max(-30, min(30, z))))
+    return round(score, 9), int(score >= threshold), len(words), len(terms)
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(17)
+    parts = [*toxicity.SEEDS, *toxicity.EXCEPTIONS, "idi0t", "Bl0rgh", "snar", "snarfles", "snarfled", "ídiot", "b!tch", "m o r o n", "retardant", "10", "a1", "é", *words(rng, 60)]
+    rows = [(k, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))) for k in range(400)] + [(500, None), (500, ""), (None, "an idiot"), (501, "idiot " * 20_000), (502, "x" * 100_000)]
+    lexicon = toxicity.Lexicon()
+    lexicon.weights |= {" blorgh ": 4.25, " snar": 2.5, " snarfles ": 3.5, " the ": 0.25}
+    lexicon.curve = (-5.0, 1.5, 0.75)
+    got = toxicity.toxic(spark.createDataFrame(rows, "doc_id long, text string"), lexicon, 0.3).collect()
+    have = sorted((str(r["doc_id"]), round(r["score"], 9), r["predicted"], r["toxic_words"], len(r["toxic_terms"])) for r in got)
+    assert have == sorted((str(i), *slow_score(lexicon, t, 0.3)) for i, t in rows)
+    assert 0 < sum(x[2] for x in have) < len(have)
+
+
+def test_learnt_weights_against_brute_force(spark):
+    rng = random.Random(18)
+    rows = [(k, " ".join(words(rng, 40) + (["blorgh", "snarfles"] if k % 6 == 0 else []))) for k in range(900)]
+    labels = [(k, int(k % 6 == 0)) for k in range(900)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    learnt = [k for k in range(900) if zlib.crc32(str(k).encode()) % 4 != 2]
+    for entry, weight in lexicon.weights.items():
+        if entry.strip() in toxicity.SEEDS:
+            continue
+        n = [0, 0]
+        for k in learnt:
+            found = re.findall(r"[^\W\d_]+", toxicity.fold(rows[k][1]))
+            n[labels[k][1]] += any(w == entry.strip() if entry.endswith(" ") else w.startswith(entry[1:]) for w in found)
+        t = [sum(labels[k][1] == y for k in learnt) for y in (0, 1)]
+        assert abs(weight - (math.log((n[1] + 0.5) / (t[1] + 1)) - math.log((n[0] + 0.5) / (t[0] + 1)))) < 1e-4
+    assert {" blorgh ", " snarfles "} & set(lexicon.weights)
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(5)
     rows, labels = [], []
