@@ -7,7 +7,8 @@ fit the weights, the fourth the calibration (Platt's two parameters).
 
 Words are runs of non-white-space (space and U+0009 to U+000D). Null and empty texts have no words, fail the base rule
 and score as the intercept says. Null ids and repeated rows stay rows of their own. Without labels of both kinds the
-model is neutral: every text scores 1/2 and passes. Extra columns are ignored. Documents are not shuffled; the sampled
+model is neutral: every text scores 1/2 and passes. Empty tables give empty tables; texts may be of any length. Extra
+columns are ignored. Documents are not shuffled; the sampled
 ids (at most `sample`) and the weights (1 << bits numbers, twice) are broadcast.
 """
 
@@ -17,13 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_columns, type_of
+from ..shipping import to_workers
+from .common import map_batches, map_columns, picked, type_of, written
 from .hashing import word_hashes
 
 SAMPLE, BITS, THRESHOLD = 4_000, 14, 0.5
+#: Tasks that share the sample; steps of the optimiser, at most; ridge.
+PARTS, ROUNDS, DECAY = 8, 30, 1e-3
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: Features are shares of a text; the scale gives the optimiser numbers near one.
 SCALE = 30.0
@@ -81,15 +85,17 @@ def neutral(bits: int = BITS) -> Model:
     return Model(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32), 0.0, 1.0, 0.0, bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Brings the hashed features of at most `sample` texts to the driver. A long text gives no more features than there
-    are hash values."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max("quality").cast("int").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Of a labelled id that several rows have, the text of the smallest hash counts, so there are at most `sample` rows.
+    Their hashed features are a table in the shared folder; each step of the optimiser is one job over it that brings a
+    gradient from each of PARTS tasks, so the driver holds a few vectors of 2 << bits numbers, however long the texts."""
+    known = picked(labels, k=id_col, y="quality").where(F.col("k").isNotNull() & F.col("y").isNotNull()).groupBy("k").agg(F.max("y").cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("k"), "k").limit(sample)
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where(F.col("t") != "").join(F.broadcast(known), "k").select(F.xxhash64("k", "t").alias("h"), "t", "y")
+    rows = picked(docs, k=id_col, t=text_col).where(F.col("t") != "").join(F.broadcast(known), "k").withColumn("h", F.xxhash64("k", "t"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("h", "t"))).where("place = 1").select("h", "y", "t")
 
     def make():
-        def step(hs, texts, ys):
+        def step(hs, ys, texts):
             at, share = [], []
             for text in texts.to_pylist():
                 ks, vs = [], []
@@ -103,38 +109,97 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
         return step
 
-    got = map_batches(rows, ["h", "t", "y"], make, "h long, y int, at binary, share binary", [("h", pa.int64()), ("y", pa.int32()), ("at", pa.binary()), ("share", pa.binary())])
-    got = sorted(got.limit(2 * sample).collect(), key=lambda r: (r["h"], r["y"]))
-    y = np.array([r["y"] > 0 for r in got], float)
-    if not len(y) or y.min() == y.max():
+    got = map_batches(rows, ["h", "y", "t"], make, "h long, y int, at binary, share binary", [("h", pa.int64()), ("y", pa.int32()), ("at", pa.binary()), ("share", pa.binary())])
+    got = written(got.repartition(PARTS, "h").sortWithinPartitions("h", "y").withColumn("fits", F.pmod("h", F.lit(4)) != 3), "quality-sample")
+    counts = {(r["fits"], r["good"]): r["n"] for r in got.groupBy("fits", (F.col("y") > 0).alias("good")).agg(F.count("*").alias("n")).collect()}
+    every = [sum(n for (_, good), n in counts.items() if good == kind) for kind in (False, True)]
+    if not every[0] or not every[1]:
         return neutral(bits)
-    at, share = [np.frombuffer(r["at"], np.int32) for r in got], [np.frombuffer(r["share"], np.float32) for r in got]
-    fits = np.arange(len(y)) % 4 != 3
-    if y[fits].min() == y[fits].max():
-        fits[:] = True
-    w, bias = descend([a for a, f in zip(at, fits) if f], [s for s, f in zip(share, fits) if f], y[fits], 2 << bits)
-    margins = np.array([bias + float(w[a] @ s) for a, s in zip(at, share)])
-    rest = ~fits if (~fits).sum() >= 50 else np.ones(len(y), bool)
-    slope, shift = platt(margins[rest], y[rest])
-    return Model(w[: 1 << bits].astype(np.float32), w[1 << bits :].astype(np.float32), float(bias), slope, shift, bits)
-
-
-def descend(at: list, share: list, y: np.ndarray, dims: int, rounds: int = 120, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression over sparse rows by Adam, with all rows in each round."""
-    size = np.array([len(a) for a in at])
-    cols, vals, row = np.concatenate(at), np.concatenate(share), np.repeat(np.arange(len(at), dtype=np.int32), size)
-    w, bias = np.zeros(dims), float(np.log(y.mean() / (1 - y.mean())))
-    m, v, mb, vb = np.zeros(dims), np.zeros(dims), 0.0, 0.0
-    for k in range(1, rounds + 1):
-        z = bias + np.bincount(row, vals * w[cols], len(at))
-        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(cols, vals * err[row], dims) / len(y) + decay * w
-        gb = err.mean()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        bias -= rate * (mb / (1 - 0.9**k)) / (np.sqrt(vb / (1 - 0.99**k)) + 1e-8)
-    return w, bias
+    alone = bool(counts.get((True, False)) and counts.get((True, True)))  # else all rows fit the weights
+    w = descend(got.where("fits") if alone else got, 2 << bits, rounds)
+    apart = alone and counts.get((False, False), 0) + counts.get((False, True), 0) >= 50
+    points = margins(got.where("not fits") if apart else got, w)
+    slope, shift = platt(points[:, 0], points[:, 1])
+    return Model(w[: 1 << bits].astype(np.float32), w[1 << bits : -1].astype(np.float32), float(w[-1]), slope, shift, bits)
+
+
+def sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, their shares, the row of each, and the labels of a batch of y, at, share."""
+    at = [np.frombuffer(x.as_py(), np.int32) for x in batch.column(1)]
+    share = [np.frombuffer(x.as_py(), np.float32) for x in batch.column(2)]
+    row = np.repeat(np.arange(len(at)), [len(x) for x in at])
+    return np.concatenate(at), np.concatenate(share), row, (batch.column(0).to_numpy() > 0).astype(float)
+
+
+def loss_and_gradient(rows: DataFrame, w: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Mean logistic loss with a ridge over rows (y, at, share), and its gradient; the last weight is the bias."""
+    given = rows.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches):
+        w, n, loss, g = given.value, 0, 0.0, np.zeros(len(given.value))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols, vals, row, y = sparse(batch)
+            z = w[-1] + np.bincount(row, vals * w[cols], len(y))
+            err = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+            n, loss = n + len(y), loss + float((np.logaddexp(0, z) - y * z).sum())
+            g[:-1] += np.bincount(cols, vals * err[row], len(w) - 1)
+            g[-1] += err.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([g.tobytes()])], ["n", "loss", "g"])
+
+    parts = rows.select("y", "at", "share").mapInArrow(run, "n long, loss double, g binary").collect()
+    n = sum(r["n"] for r in parts)
+    total = np.sum([np.frombuffer(r["g"], np.float64) for r in parts], axis=0) / n
+    total[:-1] += decay * w[:-1]
+    given.unpersist()
+    return sum(r["loss"] for r in parts) / n + decay / 2 * float(w[:-1] @ w[:-1]), total
+
+
+def descend(rows: DataFrame, dims: int, rounds: int = ROUNDS, decay: float = DECAY, memory: int = 8) -> np.ndarray:
+    """Logistic regression by L-BFGS: dims weights and the bias."""
+    to_workers(rows.sparkSession)
+    w = np.zeros(dims + 1)
+    loss, g = loss_and_gradient(rows, w, decay)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() < 1e-4:
+            break
+        d, used = g.copy(), []
+        for s, y in reversed(steps):
+            a = (s @ d) / (s @ y)
+            used.append(a)
+            d -= a * y
+        d *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.abs(g).max())
+        for (s, y), a in zip(steps, reversed(used)):
+            d += (a - (y @ d) / (s @ y)) * s
+        size = 1.0
+        while True:  # half the step until the loss falls enough
+            there = w - size * d
+            new_loss, new_g = loss_and_gradient(rows, there, decay)
+            if new_loss <= loss - 1e-4 * size * (g @ d) or size < 1e-3:
+                break
+            size /= 2
+        if new_loss >= loss:
+            break
+        if (there - w) @ (new_g - g) > 1e-12:
+            steps = [*steps, (there - w, new_g - g)][-memory:]
+        w, loss, g = there, new_loss, new_g
+    return w
+
+
+def margins(rows: DataFrame, w: np.ndarray) -> np.ndarray:
+    """Margin and label of each row, in order of the margins."""
+    given = rows.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cols, vals, row, y = sparse(batch)
+                z = given.value[-1] + np.bincount(row, vals * given.value[cols], len(y))
+                yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(y)], ["z", "y"])
+
+    return np.array(sorted(map(tuple, rows.select("y", "at", "share").mapInArrow(run, "z double, y double").collect())))
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:

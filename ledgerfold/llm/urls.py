@@ -59,7 +59,7 @@ ALPHA = 0.5
 #: Letters of the longest word; share of the rows' words in word costs; tasks that a name is spread over.
 LONGEST, OF_ROWS, SALTS = 24, 0.1, 8
 #: Labels of a host that name nothing.
-COMMON_LABELS = {"www", "m", "mobile", "com", "net", "org", "edu", "gov", "info", "biz", "co", "io", "uk", "de", "fr", "es"}
+COMMON_LABELS = {"www", "m", "mobile", "blog", "blogs", "shop", "com", "net", "org", "edu", "gov", "info", "biz", "co", "io", "uk", "de", "fr", "es"}
 NAMES = re.compile(r"[^\W_]+").findall
 URL = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S).match
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ledgerfold.llm import bpe, decontam, html_main, quality, toxicity, unigram, urls
+from ledgerfold.llm import bpe, decontam, hashing, html_main, quality, toxicity, unigram, urls
 from ledgerfold.llm.common import tokenizer_path
 
 from .corpus import empty_documents, odd_documents, words
@@ -441,6 +441,73 @@ def test_quality_learns(spark):
     assert sum(r["kept"] == (r["quality"] == 1) for r in got) / len(got) > 0.98
 
 
+def slow_features(text, bits):
+    """Shares of hashed n-grams, one by one."""
+    raw, out = (text or "").encode(), {}
+    wrap = lambda x: x & 0xFFFFFFFF
+    two = [wrap(wrap(a * 0x9E3779B1) + wrap(b * 0x85EBCA6B)) for a, b in zip(raw, raw[1:])]
+    four = [wrap(wrap(two[k] * 0xC2B2AE35) + wrap(two[k + 2] * 0x27D4EB2F) + 1) for k in range(len(two) - 2)]
+    for x in two + four:
+        key = x >> (32 - bits)
+        out[key] = out.get(key, 0) + quality.SCALE / len(two + four)
+    hashes = hashing.word_hashes(np.frombuffer(raw, np.uint8)) if raw else []
+    for x in hashes:
+        key = (1 << bits) + (int(x) >> (64 - bits))
+        out[key] = out.get(key, 0) + quality.SCALE / len(hashes)
+    return out
+
+
+def test_quality_model_against_brute_force(spark):
+    """The fit is the minimum of the loss, the calibration that of Platt's, the probability what the features say."""
+    rng, bits = random.Random(8), 6
+    rows = []
+    for i in range(500):
+        good = rng.random() < 0.6
+        w = [x + ("$$" if rng.random() < (0.1 if good else 0.2) else "") for x in words(rng, 30)]
+        rows.append((i, " ".join(w), int(good)))
+    docs, given = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, "another text of id 3"), (None, "x")], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.train(docs, given, sample=400, bits=bits, rounds=100)
+    order = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, "another text of id 3")], "k long, t string").selectExpr("k", "t", "xxhash64(k) a", "xxhash64(k, t) h").collect()
+    chosen = {r["k"] for r in sorted({(r["a"], r["k"]): r for r in order}.values(), key=lambda r: (r["a"], r["k"]))[:400]}
+    sampled = {}
+    for r in sorted(order, key=lambda r: -r["h"]):
+        if r["k"] in chosen:
+            sampled[r["k"]] = (r["t"], rows[r["k"]][2], r["h"] % 4 != 3)
+    w = np.concatenate([model.chars, model.words]).astype(float)
+    z = {k: model.bias + sum(v * w[c] for c, v in slow_features(t, bits).items()) for k, (t, _, _) in sampled.items()}
+    fits = [k for k, x in sampled.items() if x[2]]
+    gradient = quality.DECAY * w
+    slope = 0.0
+    for k in fits:
+        err = (1 / (1 + math.exp(-z[k])) - sampled[k][1]) / len(fits)
+        slope += err
+        for c, v in slow_features(sampled[k][0], bits).items():
+            gradient[c] += err * v
+    assert np.abs(gradient).max() < 2e-3 and abs(slope) < 2e-3 and np.abs(w).max() > 0.1
+    rest = [k for k in sampled if k not in fits]
+    n1 = sum(sampled[k][1] for k in rest)
+    targets = {k: (n1 + 1) / (n1 + 2) if sampled[k][1] else 1 / (len(rest) - n1 + 2) for k in rest}
+
+    def loss(a, b):
+        return sum(math.log1p(math.exp(-abs(a * z[k] + b))) + max(a * z[k] + b, 0) - targets[k] * (a * z[k] + b) for k in rest)
+
+    best = loss(model.slope, model.shift)
+    assert all(best <= loss(model.slope + da, model.shift + db) + 1e-3 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
+    got = {r["doc_id"]: r for r in quality.assess(docs.where("doc_id <> 3"), model).collect()}
+    for i, t, _ in rows[:60]:
+        p = 1 / (1 + math.exp(-(model.slope * (model.bias + sum(v * w[c] for c, v in slow_features(t, bits).items())) + model.shift)))
+        if i != 3:
+            assert abs(got[i]["probability"] - p) < 1e-5 and got[i]["kept"] == (not got[i]["base_failed"] and p >= quality.THRESHOLD)
+
+
+def test_the_sample_does_not_depend_on_order(spark):
+    rng = random.Random(9)
+    rows = [(k % 90, " ".join(words(rng, 20) + ["$$"] * (k % 90 % 2))) for k in range(300)]
+    given = spark.createDataFrame([(k, k % 2) for k in range(90)], "doc_id long, quality int")
+    one, two = (quality.train(spark.createDataFrame(x, "doc_id long, text string").repartition(n), given, sample=50, bits=8) for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert np.allclose(one.chars, two.chars) and one.bias == pytest.approx(two.bias) and one.slope == pytest.approx(two.slope)
+
+
 def test_quality_of_odd_rows(spark):
     docs = odd_documents(spark)
     got = quality.assess(docs, quality.neutral())
