@@ -17,11 +17,17 @@ word by word or with small changes; without_passages(docs) cuts them out, so tha
    seeds, so every word by word repeat of `min_words` words is found, whatever else has parts of it. Windows in a row
    with one source are a chain; of chains that overlap, the fewest that cover the same words are kept.
 5. Chains are aligned word by word: matches at their ends are carried on, gaps between seeds are aligned with the
-   fewest edits, and what has `min_words` words and `identity` of them equal is a passage.
+   fewest edits, and what has `min_words` words and `identity` of them equal is a passage. Of the earlier document only
+   the words around the chain travel, cut from pieces of `PIECE` words, so no row grows with a document, and a source
+   that many documents repeat is spread by its pieces and by the join's own splitting. The cuts stream past the
+   document's text one after another; nothing of a document is gathered in one row but its own seeds and windows.
+
+A passage with changes is found where its seeds survive: see the README for the share found by the number of changes.
 
 Words are runs of non-white-space, compared with A-Z in lower case. Null and empty texts have no passages; rows without
-an id take no part (and are not cut); rows of one id are one document, never repeats of each other. Extra columns are
-ignored by repeated_passages and kept by without_passages.
+an id (or one that is no whole number) take no part and are not cut; rows of one id are one document, never repeats of
+each other. Texts may be of any length; empty tables give empty tables. Extra columns are ignored by repeated_passages
+and kept by without_passages, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from .common import map_batches, written
+from ..shipping import to_workers
+from .common import as_kind, map_batches, numbered, picked, place, restored, whole_number, written
 from .hashing import lower_ascii, mix, run_hashes, word_hashes
 
 MIN_WORDS, IDENTITY = 50, 0.8
@@ -44,8 +52,10 @@ RUN, WINDOW = 8, 16
 SKIP, GAP = 0.15, 48
 #: How far an extension may fall below its best before it stops.
 DROP = 8
-#: Words around a document's region of matches that an alignment may reach.
+#: Words around a chain (beside those of its region, up to the least length) that an alignment may reach.
 AROUND = RUN + WINDOW + DROP
+#: Words of a document that travel together.
+PIECE = 512
 
 
 def sliding(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -317,7 +327,7 @@ def passages(a: list[bytes], b: list[bytes], offset: int, chain: list[tuple[int,
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, source_doc_id (the earlier document), start and end (words of the passage), source_start and
     source_end, and matched (equal words). Passages of one document with different sources may overlap."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull() & (F.col("text") != ""))
+    texts = picked(docs, id=id_col, text=text_col).select(whole_number("id").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("id").isNotNull() & (F.col("text") != ""))
     earlier = F.when(F.col("id") != F.col("other"), F.struct("pos", "other", "other_pos"))
 
     def met(places):
@@ -341,57 +351,135 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
                 for p, e, other, q in runs:
                     start, end = next(((a, b) for _, a, b, _ in regions if a < e and p < b), (p, e))
                     regions.append((other, start, end, [(p, q), (e - RUN, q + e - RUN - p)]))
-                for (other, start, end), group in groupby(sorted(regions, key=itemgetter(0, 1, 2)), key=itemgetter(0, 1, 2)):
-                    found = [chain for *_, chain in group]
-                    start, end = min(start, *(c[0][0] for c in found)), max(end, *(c[-1][0] + RUN for c in found))
-                    lo = min(c[0][1] - (c[0][0] - start) for c in found) - AROUND
-                    hi = max(c[-1][1] + (end - c[-1][0]) for c in found) + AROUND
-                    rows.append((d, other, max(0, lo), hi, [np.array(c, "<i4").tobytes() for c in found]))
-            return tuple(list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
+                rows += [(d, *cut) for cut in cuts_of(regions, min_words)]
+            return tuple(list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [], [])
 
         return step
 
-    wanted = map_batches(by_doc, ["id", "m", "w"], make_chains, "d long, id long, lo long, hi long, chains array<binary>", [("d", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("chains", pa.list_(pa.binary()))])
+    wanted = map_batches(by_doc, ["id", "m", "w"], make_chains, "d long, id long, nth int, lo long, hi long, chains array<binary>", [("d", pa.int64()), ("id", pa.int64()), ("nth", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("chains", pa.list_(pa.binary()))])
     wanted = written(wanted, "chains")
 
-    def make_cuts():
-        last: list = [None, None]
+    # the words of the earlier documents, in pieces, and of each piece what is asked for
+    asked = wanted.withColumn("part", F.explode(F.sequence(F.floor(F.col("lo") / PIECE), F.floor((F.col("hi") - 1) / PIECE))))
+    found = pieces_of(texts).join(asked.drop("chains"), ["id", "part"])
 
-        def step(d, ids, lo, hi, found, bodies):
+    def make_cuts():
+        def step(d, ids, nth, part, lo, hi, bodies):
             cuts = []
-            for a, b, body in zip(lo.to_pylist(), hi.to_pylist(), bodies, strict=True):
-                body = body.as_py()
-                if last[0] != body:
-                    last[:] = [body, body.encode().lower().split()]
-                cuts.append(b" ".join(last[1][a:b]))
-            return d, ids, lo, found, cuts
+            for k, a, b, body in zip(part.to_pylist(), lo.to_pylist(), hi.to_pylist(), bodies, strict=True):
+                cuts.append(b" ".join(body.as_py().split(b" ")[max(0, a - k * PIECE) : b - k * PIECE]))
+            return d, ids, nth, part, cuts
 
         return step
 
-    cut = map_batches(wanted.join(texts, "id"), ["d", "id", "lo", "hi", "chains", "text"], make_cuts, "id long, other long, lo long, chains array<binary>, cut binary", [("id", pa.int64()), ("other", pa.int64()), ("lo", pa.int64()), ("chains", pa.list_(pa.binary())), ("cut", pa.binary())])
-    # a document's cuts are no more than its own regions with each of its sources
-    cuts = cut.groupBy("id").agg(F.collect_list(F.struct("other", "lo", "chains", "cut")).alias("cuts"))
+    cuts = map_batches(found, ["d", "id", "nth", "part", "lo", "hi", "words"], make_cuts, "d long, id long, nth int, part long, words binary", [("d", pa.int64()), ("id", pa.int64()), ("nth", pa.int32()), ("part", pa.int64()), ("words", pa.binary())])
+    return aligned(texts, wanted, cuts, min_words, identity)
 
-    def make_alignments():
-        def step(ids, lists, bodies):
+
+def cuts_of(regions: list[tuple[int, int, int, list[tuple[int, int]]]], min_words: int) -> list[tuple[int, int, int, int, list[bytes]]]:
+    """(earlier document, number, first word, word after the last, chains) of what is needed of the earlier documents, for
+    (earlier document, region start, region end, chain); chains whose needs overlap share a cut, the best chain first."""
+    out = []
+    for other, group in groupby(sorted(regions, key=itemgetter(0)), key=itemgetter(0)):
+        needs = []
+        for order, (_, start, end, chain) in enumerate(group):
+            (p, q), (last_p, last_q) = chain[0], chain[-1]
+            lo = max(0, q - min(max(0, p - start), min_words) - AROUND)
+            needs.append((lo, last_q + RUN + min(max(0, end - last_p - RUN), min_words) + AROUND, order, chain))
+        joined: list[list] = []
+        for lo, hi, order, chain in sorted(needs, key=itemgetter(0, 1, 2)):
+            if joined and lo < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], hi)
+                joined[-1][2].append((order, chain))
+            else:
+                joined.append([lo, hi, [(order, chain)]])
+        for nth, (lo, hi, found) in enumerate(joined):
+            out.append((other, nth, lo, hi, [np.array(c, "<i4").tobytes() for _, c in sorted(found, key=itemgetter(0))]))
+    return out
+
+
+def pieces_of(texts: DataFrame) -> DataFrame:
+    """id, part and words (lower case, a space between them): each document in pieces of PIECE words."""
+
+    def make():
+        def step(ids, bodies):
             rows = []
-            for d, cuts, body in zip(ids.to_pylist(), lists, bodies, strict=True):
+            for i, body in zip(ids.to_pylist(), bodies, strict=True):
                 words = body.as_py().encode().lower().split()
-                for x in cuts.as_py():
-                    other, taken = x["cut"].split(), []
-                    for chain in x["chains"]:
-                        points = np.frombuffer(chain, "<i4").reshape(-1, 2).tolist()
-                        if any(a <= points[0][0] and points[-1][0] + RUN <= b for a, b in taken):
-                            continue  # within a passage of the same source
-                        for found in passages(words, other, x["lo"], points, min_words, identity):
-                            taken.append(found[:2])
-                            rows.append((d, x["other"], *found))
-            return tuple(list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [], [], [])
+                rows += [(i, k // PIECE, b" ".join(words[k : k + PIECE])) for k in range(0, len(words), PIECE)]
+            return tuple(list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
 
         return step
 
-    names = ["doc_id", "source_doc_id", "start", "end", "source_start", "source_end", "matched"]
-    return map_batches(cuts.join(texts, "id"), ["id", "cuts", "text"], make_alignments, ", ".join(f"{n} long" for n in names), [(n, pa.int64()) for n in names]).distinct()
+    return map_batches(texts, ["id", "text"], make, "id long, part long, words binary", [("id", pa.int64()), ("part", pa.int64()), ("words", pa.binary())])
+
+
+PASSAGE = ["doc_id", "source_doc_id", "start", "end", "source_start", "source_end", "matched"]
+
+
+def aligned(texts: DataFrame, wanted: DataFrame, cuts: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """Passages of the chains in wanted (d, id, nth, lo, chains), with the words of cuts (d, id, nth, part, words). Rows come
+    by document: its text first, then for each cut its chains and its parts in order."""
+    none = {"text": "string", "id": "long", "nth": "int", "part": "long", "lo": "long", "chains": "array<binary>", "words": "binary"}
+
+    def row(df: DataFrame, d: str, kind: int, *given: str) -> DataFrame:
+        return df.select(F.col(d).alias("d"), F.lit(kind).alias("kind"), *(F.col(c) if c in given else F.lit(None).cast(t).alias(c) for c, t in none.items()))
+
+    rows = row(texts, "id", 0, "text").unionByName(row(wanted.withColumn("part", F.lit(-1).cast("long")), "d", 1, "id", "nth", "part", "lo", "chains")).unionByName(row(cuts, "d", 1, "id", "nth", "part", "words"))
+    rows = rows.repartition("d").sortWithinPartitions("d", "kind", "id", "nth", "part")
+    to_workers(texts.sparkSession)
+    schema = StructType()
+    for name in PASSAGE:
+        schema = schema.add(name, as_kind("long"))
+
+    def run(batches):
+        doc, bodies, words, key, head, parts, source, taken, out = None, [], None, None, None, [], None, [], []
+
+        def finish():
+            nonlocal words, source, taken
+            if not head or not parts:
+                return
+            if words is None:
+                words = [b.encode().lower().split() for b in bodies]
+            if source != key[0]:
+                source, taken = key[0], []
+            lo, found = head
+            other = b" ".join(parts).split()
+            for own in words:
+                for chain in found:
+                    points = np.frombuffer(chain, "<i4").reshape(-1, 2).tolist()
+                    if points[-1][0] + RUN > len(own) or any(a <= points[0][0] and points[-1][0] + RUN <= b for a, b in taken):
+                        continue  # within a passage of the same source
+                    for x in passages(own, other, lo, points, min_words, identity):
+                        taken.append(x[:2])
+                        out.append((doc, key[0], *x))
+
+        for batch in batches:
+            columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            for i, (d, kind) in enumerate(zip(columns["d"].to_pylist(), columns["kind"].to_pylist())):
+                if kind == 0:
+                    if d != doc:
+                        finish()
+                        doc, bodies, words, key, head, parts, source, taken = d, [], None, None, None, [], None, []
+                    if (text := columns["text"][i].as_py()) not in bodies:  # repeated rows
+                        bodies.append(text)
+                    continue
+                this = (columns["id"][i].as_py(), columns["nth"][i].as_py())
+                if this != key:
+                    finish()
+                    key, head, parts = this, None, []
+                if columns["part"][i].as_py() < 0:
+                    head = (columns["lo"][i].as_py(), columns["chains"][i].as_py())
+                else:
+                    parts.append(columns["words"][i].as_py())
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], PASSAGE)
+                out = []
+        finish()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], PASSAGE)
+
+    return rows.mapInArrow(run, schema).distinct()
 
 
 def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,10 +487,10 @@ def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: floa
     of which a cut leaves nothing are dropped. Other columns stay as they are."""
     found = repeated_passages(docs, min_words, identity, id_col, text_col)
     spans = written(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    names = [f"c{k}" for k in range(len(docs.columns))]  # of our own, so that no column can clash
-    at = docs.columns.index(text_col)
-    rows = docs.toDF(*names)
-    rows = rows.join(spans, F.col(names[docs.columns.index(id_col)]).cast("long") == F.col("doc_id"), "left")
+    at = place(docs, text_col)
+    rows = numbered(docs)
+    names = rows.columns
+    rows = rows.withColumn("own", whole_number(names[place(docs, id_col)])).join(spans, F.col("own") == F.col("doc_id"), "left")
 
     def make():
         def step(*columns):
@@ -415,9 +503,12 @@ def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: floa
 
         return step
 
-    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), "gone boolean"])
-    out = map_batches(rows, [*names, "spans"], make, schema, [*((n, to_arrow_type(rows.schema[n].dataType)) for n in names), ("gone", pa.bool_())])
-    return out.where("not gone").select(*names).toDF(*docs.columns)
+    schema = StructType()
+    for name, f in zip(names, docs.schema, strict=True):
+        schema = schema.add(name, f.dataType)
+    schema = schema.add("gone", "boolean")
+    out = map_batches(rows, [*names, "spans"], make, schema, [(f.name, to_arrow_type(f.dataType)) for f in schema])
+    return restored(out.where("not gone"), docs)
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:

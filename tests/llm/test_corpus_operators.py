@@ -185,6 +185,42 @@ def test_repeats_whose_parts_occur_earlier(spark):
     assert all(len(cut[i]) <= 47 for i in want)
 
 
+def test_documents_of_a_million_words(spark):
+    """A very long document that holds parts of many earlier ones, and is the source of many later ones."""
+    rng = random.Random(14)
+    vocabulary = [word(rng) + str(k) for k in range(20_000)]
+    long = rng.choices(vocabulary, k=1_000_000)
+    early = [rng.choices(vocabulary, k=70) for _ in range(150)]
+    for k, w in enumerate(early):
+        long[5000 * k : 5000 * k + 60] = w[:60]
+    late = [rng.choices(vocabulary, k=10) + long[6000 * k + 100 : 6000 * k + 160] for k in range(150)]
+    docs = [(k, w) for k, w in enumerate(early)] + [(1000, long)] + [(2000 + k, w) for k, w in enumerate(late)] + [(3000, long[400_000:700_000])]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(4)
+    covered = {}
+    for r in substring.repeated_passages(frame).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert set(covered) == {1000, 3000, *(2000 + k for k in range(150))}
+    assert all(set(range(5000 * k, 5000 * k + 60)) <= covered[1000] for k in range(150)) and len(covered[1000]) < 150 * 64
+    assert all(covered[2000 + k] >= set(range(10, 70)) for k in range(150)) and len(covered[3000]) == 300_000
+
+
+@pytest.mark.parametrize(("size", "changes", "least"), [(60, 1, 0.9), (90, 2, 0.9), (90, 4, 0.8), (150, 6, 0.9)])
+def test_share_of_changed_passages_found(spark, size, changes, least):
+    """Passages with random words changed, each in two documents; found where most of it is among the passage's words."""
+    rng, docs, n = random.Random(size + changes), [], 80
+    for k in range(n):
+        p = words(rng, size)
+        q = list(p)
+        for at in rng.sample(range(size), changes):
+            q[at] += "x"
+        docs += [(k, words(rng, 20) + p + words(rng, 20)), (n + k, words(rng, 30) + q + words(rng, 10))]
+    found = {}
+    for r in substring.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect():
+        found.setdefault((r["doc_id"], r["source_doc_id"]), set()).update(range(r["start"], r["end"]))
+    assert all(i - n == source for i, source in found)
+    assert sum(len(x & set(range(30, 30 + size))) >= 0.8 * size for x in found.values()) >= least * n
+
+
 def test_windows_and_their_runs():
     rng = random.Random(13)
     text = " ".join(words(rng, 90))
