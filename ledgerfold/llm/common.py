@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -156,6 +155,13 @@ def per_worker(key, build: Callable):
     return _PER_WORKER[key]
 
 
+def latest(kind: str, token: str, build: Callable):
+    """build() once in each Python worker process for a token; the one of the kind's last token is forgotten."""
+    if _PER_WORKER.get(kind, (None, None))[0] != token:
+        _PER_WORKER[kind] = (token, build())
+    return _PER_WORKER[kind][1]
+
+
 class PieceCache(dict):
     """Results for text pieces, in two generations: a full one becomes the old one, and what is still used moves
     back. At most 2 * limit entries are held, whatever the corpus; a miss is computed again, never dropped."""
@@ -174,14 +180,3 @@ class PieceCache(dict):
                 self.clear()
             self[piece] = value
         return value
-
-
-def bounded(rows: list, limit: int, what: str) -> list:
-    """Guards what is brought to the driver by a stated bound."""
-    if len(rows) > limit:
-        raise ValueError(f"{what}: {len(rows)} rows, more than the bound of {limit}")
-    return rows
-
-
-def log(*what) -> None:
-    print(*what, file=sys.stderr)

@@ -16,12 +16,14 @@ between, so neither the driver nor a worker holds more than a block.
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_batches, numbered, picked, place, written
+from .common import latest, map_batches, numbered, picked, place, written
 
 WINDOW, BLOCK_BYTES = 10, 2 << 20
 #: Bytes of UTF-8: A-Z to a-z, digits, a-z and all of 0x80 and up as they are, the rest to spaces.
@@ -135,8 +137,8 @@ def searched(docs: DataFrame, benchmark: DataFrame, passed: list[int], window: i
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.toLocalIterator()])
 
-        def make(shared=shared):
-            searcher = Searcher(shared.value, window)
+        def make(shared=shared, token=uuid.uuid4().hex):
+            searcher = latest("searcher", token, lambda: Searcher(shared.value, window))
 
             def step(*columns):
                 *passing, texts, spans, items = columns
