@@ -10,16 +10,17 @@ smallest values, and the first `KEYS` of them are its keys.
 3. Links make components. Only where a list still has several of them can a link be missing. In short lists all pairs
    across components are candidates.
 4. In longer lists (a common line, a large group of copies) exact bounds say which classes can still have a partner.
-   Shingles that no other class has (`own`) are in no intersection, so a class of n shingles has none at all if
-   n - own < threshold * n, and else only such of at most (1 + threshold) / threshold * (n - own) - n shingles. The class
-   with the least share of own shingles in a list's largest component is compared with all that can have a partner
-   and are in other components: of a group of copies this is one with few changes, which links all that any other would.
-   What is then still apart is compared by ranges of sizes, which for a group of copies leaves next to nothing.
+   Shingles that no other component has (`own`) are in no intersection with one, so a class of n shingles has no partner
+   there if n - own < threshold * n, and else only such of at most (1 + threshold) / threshold * (n - own) - n shingles. The
+   class with the least share of own shingles in a list's largest component is compared with all that can have a partner
+   and are in other components: of a group of copies this is one with few changes, which links most that any other would.
+   What is then still apart is compared by ranges of sizes, where own shingles and those shared with the list's smallest
+   class leave few pairs of a group of copies.
 
 What chance may lose, for a pair right at the threshold: it shares no key ((1 - threshold) ** KEYS, 6.6e-12 at 0.8); the
 estimate is SLACK too low (more than six standard deviations); fewer than LEAST_KEYS of a class's keys are in any other
-class's (5e-11 at 0.8). Nothing else is left out, whatever the sizes of lists. Pairs that no bound excludes grow with
-the square of a group only where its members have no shingles of their own and yet are not alike. Equal sets are known by
+class's (5e-11 at 0.8). Nothing else is left out, whatever the sizes of lists. Pairs that no bound excludes still grow
+with the square of a group whose members are at the threshold's edge and share their changes with others. Equal sets are known by
 a 128-bit digest of their 63-bit shingle hashes, which is not confirmed word by word: two different shingles of one hash
 would be needed.
 
@@ -159,7 +160,8 @@ def judged(docs: DataFrame, shingle: int, threshold: float, id_col: str, text_co
     common = members.groupBy("id", "n").agg(F.count("*").alias("k"), F.max("size").alias("longest")).where((F.col("longest") > SHORT) & (F.col("k") >= enough)).select("id", "n")
     common = written(common, "common")
 
-    chosen = written(texts.join(ends_of(stars).unionByName(common.select("id")).distinct().hint("merge"), "id"), "texts")
+    firsts = members.where(F.col("size") > SHORT).select(F.col("first").alias("id"))
+    chosen = written(texts.join(ends_of(stars).unionByName(common.select("id")).unionByName(firsts).distinct().hint("merge"), "id"), "texts")
     links = written(confirmed(stars, chosen, shingle, threshold), "confirmed")
     found = written(components(links), "components")
 
@@ -174,7 +176,7 @@ def judged(docs: DataFrame, shingle: int, threshold: float, id_col: str, text_co
         found = written(components(links), "components")
         return True
 
-    cells = written(long_cells(members, common, chosen, shingle, threshold), "cells")
+    cells = written(long_cells(members, common, chosen, found, shingle, threshold), "bounds")
     short = across(labelled(members.where(F.col("size") <= SHORT).select("key", "id", "n"), found), threshold)
     if settle(short.unionByName(middles(labelled(cells, found), threshold)).distinct()):
         settle(apart(labelled(cells, found), threshold))
@@ -220,9 +222,14 @@ def across(rows: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(*ordered("id", "id1")).distinct()
 
 
-def long_cells(members: DataFrame, common: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """p (the smallest class of a long list), id, n, own (shingles that no other class here has) and most (the size a
-    partner can have), for classes that can have a partner."""
+def long_cells(members: DataFrame, common: DataFrame, texts: DataFrame, found: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Of long lists that hold several components, for classes that can have a partner: p (the list's smallest class), id, n,
+    own (shingles that no other component has), most (the size a partner can have), and, leaving out p's shingles, alone
+    (own ones) and with_p (those shared with p): |x ^ y| >= alone x + alone y + |with_p x - with_p y|."""
+    cells = members.where(F.col("size") > SHORT).join(common.select("id"), "id").select(F.col("first").alias("p"), "id", "n").distinct()
+    cells = labelled(cells, found)
+    several = cells.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("p")
+    cells = written(cells.join(several, "p"), "cells")
 
     def make():
         def step(ids, bodies):
@@ -231,17 +238,37 @@ def long_cells(members: DataFrame, common: DataFrame, texts: DataFrame, shingle:
 
         return step
 
-    bodies = texts.join(common.select("id"), "id")
-    held = map_batches(bodies, ["id", "text"], make, "id long, h long", [("id", pa.int64()), ("h", pa.int64())])
-    own = held.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
-    cells = members.where(F.col("size") > SHORT).join(common.select("id"), "id").select(F.col("first").alias("p"), "id", "n").distinct()
+    bodies = texts.join(cells.select("id").distinct(), "id")
+    held = written(map_batches(bodies, ["id", "text"], make, "id long, h long", [("id", pa.int64()), ("h", pa.int64())]), "held")
+    only = labelled(held, found).groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo = hi").select("h")
     # an id with several texts stands for several classes: nothing is known to be its own
     kind = F.xxhash64("text")
-    several = bodies.groupBy("id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo <> hi").select("id")
-    own = own.join(several, "id", "left_anti")
-    cells = cells.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    one = bodies.groupBy("id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo = hi").select("id")
+    own = held.distinct().join(only, "h").groupBy("id").agg(F.collect_list("h").alias("own")).join(one, "id")
+    firsts = texts.join(several.select(F.col("p").alias("id")), "id").groupBy(F.col("id").alias("p")).agg(F.min("text").alias("tp"))
+    both = cells.join(own, "id", "left").join(bodies.groupBy("id").agg(F.min("text").alias("text")), "id").join(firsts, "p")
+
+    def make_bounds():
+        last: list = [None, None]
+
+        def step(ps, ids, owns, firsts, texts):
+            shared, alone, size = [], [], []
+            for o, tp, t in zip(owns, firsts.to_pylist(), texts.to_pylist(), strict=True):
+                if last[0] != tp:
+                    last[:] = [tp, shingle_hashes(tp, shingle).astype(np.int64)]
+                shared.append(len(np.intersect1d(last[1], shingle_hashes(t, shingle).astype(np.int64), assume_unique=True)))
+                mine = np.array(o.as_py() or [], np.int64)
+                size.append(len(mine))
+                alone.append(len(mine) - len(np.intersect1d(last[1], mine, assume_unique=True)))
+            return ps, ids, shared, alone, size
+
+        return step
+
+    names = ["p", "id", "with_p", "alone", "own"]
+    bounds = map_batches(both, ["p", "id", "own", "tp", "text"], make_bounds, ", ".join(f"{n} long" for n in names), [(n, pa.int64()) for n in names])
+    rows = cells.drop("c").join(bounds, ["p", "id"])
     most = F.floor((1 + threshold) / threshold * (F.col("n") - F.col("own")) - F.col("n") + 1e-6)
-    return cells.withColumn("most", most).where(F.col("n") - F.col("own") >= threshold * F.col("n") - 1e-6)
+    return rows.withColumn("most", most).where(F.col("n") - F.col("own") >= threshold * F.col("n") - 1e-6)
 
 
 def middles(cells: DataFrame, threshold: float) -> DataFrame:
@@ -259,8 +286,10 @@ def apart(cells: DataFrame, threshold: float) -> DataFrame:
     size = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(STEP)))
     low, high = F.ceil(threshold * F.col("n") - 1e-6), F.least(F.col("most"), F.floor(F.col("n") / threshold + 1e-6))
     left = rows.where((F.col("c") != F.col("main")) & (low <= high)).withColumn("range", F.explode(F.sequence(size(low), size(high))))
-    left = left.select("p", "range", *(F.col(x).alias(f"{x}1") for x in ("id", "n", "c", "most")))
-    pairs = left.join(rows.withColumn("range", size(F.col("n"))), ["p", "range"]).where((F.col("c1") != F.col("c")) & (F.col("n") <= F.col("most1")) & (F.col("n1") <= F.col("most")) & fitting("n", "n1", threshold))
+    left = left.select("p", "range", *(F.col(x).alias(f"{x}1") for x in ("id", "n", "c", "most", "alone", "with_p")))
+    differ = F.col("alone") + F.col("alone1") + F.abs(F.col("with_p") - F.col("with_p1"))
+    close = differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n1")) + 1e-6
+    pairs = left.join(rows.withColumn("range", size(F.col("n"))), ["p", "range"]).where((F.col("c1") != F.col("c")) & (F.col("n") <= F.col("most1")) & (F.col("n1") <= F.col("most")) & close & fitting("n", "n1", threshold))
     return pairs.select(*ordered("id", "id1")).distinct()
 
 
