@@ -19,6 +19,8 @@ from ..shipping import shared_folder, to_workers
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Rows, and bytes of their texts, that become Python objects at once; a longer text is alone.
 ROWS, BYTES = 1000, 8 << 20
+#: Ids that are broadcast at most (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -111,6 +113,13 @@ def as_type(x, kind: pa.DataType) -> pa.Array:
     return pa.array(x, type=kind)
 
 
+def filtered(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is among ids, found without a shuffle while these are at most BROADCAST_IDS; more of them would not fit
+    every worker, and all rows are given: whoever joins them with ids' table then drops the rest there."""
+    n = ids.limit(BROADCAST_IDS + 1).count()
+    return rows.join(F.broadcast(ids), "id", "left_semi") if n <= BROADCAST_IDS else rows
+
+
 def as_kind(kind: DataType | str) -> DataType:
     return StructType.fromDDL(f"x {kind}")["x"].dataType if isinstance(kind, str) else kind
 

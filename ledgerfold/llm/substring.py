@@ -43,7 +43,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..shipping import to_workers
-from .common import as_kind, map_batches, numbered, picked, place, restored, whole_number, written
+from .common import as_kind, filtered, map_batches, numbered, picked, place, restored, whole_number, written
 from .hashing import lower_ascii, mix, run_hashes, word_hashes
 
 MIN_WORDS, IDENTITY = 50, 0.8
@@ -90,24 +90,18 @@ def seeds_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seed_table(docs: DataFrame) -> DataFrame:
-    """h, id, pos and owner (the id, on the first place of a hash in its document, else null)."""
+    """h, id and pos."""
 
     def make():
         def step(ids, texts):
             found = [seeds_of(t) for t in texts.to_pylist()]
             size = [len(h) for h, _ in found]
-            first = []
-            for h, _ in found:
-                mark = np.zeros(len(h), bool)
-                mark[np.unique(h, return_index=True)[1]] = True
-                first.append(mark)
             own = np.repeat(ids.to_numpy(zero_copy_only=False), size)
-            h, pos, mark = np.concatenate([h for h, _ in found]), np.concatenate([p for _, p in found]), np.concatenate(first)
-            return pa.array(h, pa.int64()), pa.array(own, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(own, pa.int64(), mask=~mark)
+            return np.concatenate([h for h, _ in found]), own, np.concatenate([p for _, p in found]).astype(np.int32)
 
         return step
 
-    return map_batches(docs, ["id", "text"], make, "h long, id long, pos int, owner long", [("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("owner", pa.int64())])
+    return map_batches(docs, ["id", "text"], make, "h long, id long, pos int", [("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32())])
 
 
 def windows_of(text: str | None, shared: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +134,7 @@ def windows_of(text: str | None, shared: np.ndarray, size: int) -> tuple[np.ndar
 
 
 def window_table(docs: DataFrame, size: int) -> DataFrame:
-    """h, id, pos and owner, as in seed_table, of the windows of `size` words. docs: id, text and shared."""
+    """h, id and pos of the windows of `size` words. docs: id, text and shared."""
 
     def make():
         def step(ids, texts, shared):
@@ -148,18 +142,12 @@ def window_table(docs: DataFrame, size: int) -> DataFrame:
             for text, own in zip(texts, shared, strict=True):
                 found.append(windows_of(text.as_py(), own.values.to_numpy() if own.is_valid else np.zeros(0, np.int64), size))
             count = [len(h) for h, _ in found]
-            first = []
-            for h, _ in found:
-                mark = np.zeros(len(h), bool)
-                mark[np.unique(h, return_index=True)[1]] = True
-                first.append(mark)
             own = np.repeat(ids.to_numpy(zero_copy_only=False), count)
-            h, pos, mark = np.concatenate([h for h, _ in found]), np.concatenate([p for _, p in found]), np.concatenate(first)
-            return pa.array(h, pa.int64()), pa.array(own, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(own, pa.int64(), mask=~mark)
+            return np.concatenate([h for h, _ in found]), own, np.concatenate([p for _, p in found]).astype(np.int32)
 
         return step
 
-    return map_batches(docs, ["id", "text", "shared"], make, "h long, id long, pos int, owner long", [("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("owner", pa.int64())])
+    return map_batches(docs, ["id", "text", "shared"], make, "h long, id long, pos int", [("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32())])
 
 
 def runs_of(matches: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int, int]]:
@@ -331,14 +319,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     earlier = F.when(F.col("id") != F.col("other"), F.struct("pos", "other", "other_pos"))
 
     def met(places):
-        first = places.groupBy("h").agg(F.min("id").alias("other"), F.max("id").alias("last"), F.min_by("pos", "owner").alias("other_pos")).where(F.col("other") != F.col("last")).drop("last")
+        first = places.groupBy("h").agg(F.min(F.col("id")).alias("other"), F.max("id").alias("last"), F.min_by("pos", F.struct("id", "pos")).alias("other_pos")).where(F.col("other") != F.col("last")).drop("last")
         return places.select("h", "id", "pos").join(first, "h")
 
     by_doc = met(seed_table(texts)).groupBy("id").agg(F.collect_list(earlier).alias("m"), F.collect_set("h").alias("shared"))
     by_doc = written(by_doc, "seeds")
     size = max(min_words, RUN)
     # below RUN + WINDOW - 1 words a window need not have a seed
-    windows = window_table(texts.join(by_doc.select("id", "shared"), "id", "inner" if size >= RUN + WINDOW - 1 else "left"), size)
+    likely = filtered(texts, by_doc.select("id")) if size >= RUN + WINDOW - 1 else texts
+    windows = window_table(likely.join(by_doc.select("id", "shared"), "id", "inner" if size >= RUN + WINDOW - 1 else "left"), size)
     whole = met(windows).where(F.col("id") != F.col("other")).groupBy("id").agg(F.collect_list(F.struct("pos", "other", "other_pos")).alias("w"))
     by_doc = by_doc.select("id", "m").join(whole, "id", "full")
 
@@ -361,7 +350,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
 
     # the words of the earlier documents, in pieces, and of each piece what is asked for
     asked = wanted.withColumn("part", F.explode(F.sequence(F.floor(F.col("lo") / PIECE), F.floor((F.col("hi") - 1) / PIECE))))
-    found = pieces_of(texts).join(asked.drop("chains"), ["id", "part"])
+    found = pieces_of(filtered(texts, wanted.select("id").distinct())).join(asked.drop("chains"), ["id", "part"])
 
     def make_cuts():
         def step(d, ids, nth, part, lo, hi, bodies):
@@ -425,7 +414,7 @@ def aligned(texts: DataFrame, wanted: DataFrame, cuts: DataFrame, min_words: int
     def row(df: DataFrame, d: str, kind: int, *given: str) -> DataFrame:
         return df.select(F.col(d).alias("d"), F.lit(kind).alias("kind"), *(F.col(c) if c in given else F.lit(None).cast(t).alias(c) for c, t in none.items()))
 
-    rows = row(texts, "id", 0, "text").unionByName(row(wanted.withColumn("part", F.lit(-1).cast("long")), "d", 1, "id", "nth", "part", "lo", "chains")).unionByName(row(cuts, "d", 1, "id", "nth", "part", "words"))
+    rows = row(filtered(texts, wanted.select(F.col("d").alias("id")).distinct()), "id", 0, "text").unionByName(row(wanted.withColumn("part", F.lit(-1).cast("long")), "d", 1, "id", "nth", "part", "lo", "chains")).unionByName(row(cuts, "d", 1, "id", "nth", "part", "words"))
     rows = rows.repartition("d").sortWithinPartitions("d", "kind", "id", "nth", "part")
     to_workers(texts.sparkSession)
     schema = StructType()
