@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str] | None = None) -> DataFrame:
     """Percentiles at index ceil(p n / 100) - 1 of the sorted samples, whole numbers."""
-    cols = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").cast("bigint").alias(f"p{p}") for p in percents]
-    return rows.groupBy(*(by or [])).agg(*cols)
+    return _ranked(rows, value, percents, by or [], lambda p: F.floor((F.lit(p) * F.col("n") + 99) / 100))
 
 
 def floor_rank(rows: DataFrame, value: str, percents: list[int], by: list[str]) -> DataFrame:
-    """Percentiles at index floor(p (n - 1) / 100). Places come from counts of the distinct values, so a group's samples
-    are never gathered in one row."""
+    """Percentiles at index floor(p (n - 1) / 100)."""
+    return _ranked(rows, value, percents, by, lambda p: F.floor(F.lit(p) * (F.col("n") - 1) / 100) + 1)
+
+
+def _ranked(rows: DataFrame, value: str, percents: list[int], by: list[str], at: Callable[[int], Column]) -> DataFrame:
+    """Values at a place (1 up). Places come from counts of the distinct values, summed over runs of values and then inside
+    them, so a group's samples are never gathered in one row, nor its distinct values sorted in one task."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    placed = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
-    at = lambda p: F.floor(F.lit(p) * (F.col("n") - 1) / 100) + 1
+    counts = counts.withColumn("run", F.floor(F.col(value) / 4096))
+    group = Window.partitionBy(*by)
+    runs = counts.groupBy(*by, "run").agg(F.sum("c").alias("s"))
+    runs = runs.withColumns({"before": F.sum("s").over(group.orderBy("run")) - F.col("s"), "n": F.sum("s").over(group)}).drop("s")
+    inside = F.sum("c").over(Window.partitionBy(*by, "run").orderBy(value))
+    placed = counts.withColumn("inside", inside).join(runs, [*by, "run"]).withColumn("upto", F.col("before") + F.col("inside"))
     return placed.groupBy(*by).agg(*(F.min(F.when(F.col("upto") >= at(p), F.col(value))).alias(f"p{p}") for p in percents))
 
 

@@ -38,12 +38,12 @@ def trace_order_check(spark, d):
 
 
 @query("trace_scans", f"""WITH {LOG}, life AS (SELECT key, value, seq AS born, op, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS gone FROM oplog WHERE op <> 'GET'),
-s AS (SELECT seq, key AS start FROM oplog WHERE event_type = 'view' AND seq % 40 = 0),
+s AS (SELECT seq, key AS start FROM oplog WHERE event_type = 'view'),
 r AS (SELECT s.seq, s.start, l.key, l.value, row_number() OVER (PARTITION BY s.seq ORDER BY l.key) AS place FROM s JOIN life l ON l.op = 'PUT' AND l.born < s.seq AND (l.gone IS NULL OR l.gone >= s.seq) AND l.key >= s.start)
 SELECT seq, start, place, key, value FROM r WHERE place <= 10""")
 def trace_scans(spark, d):
     log = events_log(spark, d)
-    scans = log.where("event_type = 'view' and seq % 40 = 0").select("seq", F.col("key").alias("start"))
+    scans = log.where("event_type = 'view'").select("seq", F.col("key").alias("start"))
     return trace.scans_as_of(log, scans, 10, 1024)
 
 

@@ -13,6 +13,7 @@ from ..functions import scalar
 from ..operators import access
 from ..operators.oplog import cents, table
 from .registry import query
+from .store import RANKED
 
 DISTRICT = "c_nationkey"
 
@@ -100,7 +101,7 @@ def neworder_lines(spark, d):
     items = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     joined = lines(spark, d).join(items, "l_partkey").join(stock(spark, d), ["l_suppkey", "l_partkey"])
     remote = F.count(F.when(F.col("l_orderkey") % 10 != F.col("l_suppkey") % 10, 1))
-    return joined.groupBy("l_suppkey", "l_partkey").agg(F.sum("qty").alias("ordered"), F.count("*").alias("order_cnt"), remote.alias("remote_cnt"), F.first("p_size").alias("p_size"), F.first("s_quantity").alias("s_quantity"))
+    return joined.groupBy("l_suppkey", "l_partkey").agg(F.sum("qty").alias("ordered"), F.count("*").alias("order_cnt"), remote.alias("remote_cnt"), F.any_value("p_size").alias("p_size"), F.any_value("s_quantity").alias("s_quantity"))
 
 
 @query("neworder_total", f"WITH {LINES} SELECT l_orderkey, cast(sum(amount * (100 - disc) * (100 + tax)) AS BIGINT) AS total FROM li GROUP BY 1")
@@ -151,13 +152,18 @@ def payment_history(spark, d):
 # --- consistency conditions: the rows that break them; none for a sound database ---
 
 
-@query("consistency_1", "SELECT n_regionkey, cast(sum(y) AS BIGINT) AS w_ytd, cast(sum(y) AS BIGINT) AS d_ytd FROM (SELECT n_regionkey, n_nationkey, sum(cast(round(c_acctbal * 100) AS BIGINT)) AS y FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2) GROUP BY 1")
+AFTER = "bal AS (SELECT c_custkey, c_nationkey, cast(round(c_acctbal * 100) AS BIGINT) AS before, cast(round(c_acctbal * 100) AS BIGINT) - coalesce(s.a, 0)::BIGINT AS after, coalesce(s.n, 0) AS cnt FROM customer LEFT JOIN (SELECT c_custkey, sum(amount) AS a, count(*) AS n FROM pay GROUP BY 1) s USING (c_custkey))"
+
+
+@query("consistency_1", f"WITH {PAY}, {AFTER}, w AS (SELECT n_regionkey, cast(sum(amount) AS BIGINT) AS w_ytd FROM pay JOIN customer USING (c_custkey) JOIN nation ON n_nationkey = c_nationkey GROUP BY 1), dis AS (SELECT n_regionkey, cast(sum(before - after) AS BIGINT) AS d_ytd FROM bal JOIN nation ON n_nationkey = c_nationkey GROUP BY 1) SELECT n_regionkey, coalesce(w_ytd, 0) AS w_ytd, d_ytd FROM dis LEFT JOIN w USING (n_regionkey)")
 def consistency_1(spark, d):
-    """Warehouse totals against the sum of their districts' (both kept, so that the check shows what it compared)."""
-    rows = table(spark, d, "customer").select("c_nationkey", cents("c_acctbal").alias("y")).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey")
-    warehouse = rows.groupBy("n_regionkey").agg(F.sum("y").alias("w_ytd"))
-    district = rows.groupBy("n_regionkey", "c_nationkey").agg(F.sum("y").alias("y")).groupBy("n_regionkey").agg(F.sum("y").alias("d_ytd"))
-    return warehouse.join(district, "n_regionkey")
+    """Warehouse totals, from the payments, against the sum of their districts', from what customers' balances lost."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey", cents("c_acctbal").alias("before"))
+    warehouse = payments(spark, d).join(customers.drop("before"), "c_custkey").join(nations, "c_nationkey").groupBy("n_regionkey").agg(F.sum("amount").alias("w_ytd"))
+    lost = payment_balances(spark, d).join(customers, "c_custkey").groupBy("c_nationkey").agg(F.sum(F.col("before") - F.col("balance")).alias("lost"))
+    district = lost.join(nations, "c_nationkey").groupBy("n_regionkey").agg(F.sum("lost").alias("d_ytd"))
+    return district.join(warehouse, "n_regionkey", "left").select("n_regionkey", F.coalesce("w_ytd", F.lit(0).cast("bigint")).alias("w_ytd"), "d_ytd")
 
 
 @query("consistency_2", "SELECT c_nationkey, max(o_orderkey) + 1 AS next_o_id, max(o_orderkey) AS max_o_id, max(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) AS max_no_o_id FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING max(o_orderkey) <> max(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END)")
@@ -183,27 +189,28 @@ def consistency_4(spark, d):
     return out.where("ol_cnt <> lines")
 
 
-@query("payment_conservation", f"WITH {PAY} SELECT count(*) AS commits, cast(sum(n) AS BIGINT) AS counted FROM (SELECT c_custkey, count(*) OVER (PARTITION BY c_custkey) AS n, row_number() OVER (PARTITION BY c_custkey ORDER BY event_id) AS i FROM pay) WHERE i >= 1 AND n > 0 AND i = n")
+@query("payment_conservation", f"WITH {PAY}, {AFTER} SELECT (SELECT count(*) FROM pay WHERE c_custkey IN (SELECT c_custkey FROM customer)) AS commits, (SELECT cast(sum(cnt) AS BIGINT) FROM bal) AS counted")
 def payment_conservation(spark, d):
-    counts = payments(spark, d).groupBy("c_custkey").agg(F.count("*").alias("n"))
-    return counts.agg(F.count("*").alias("commits"), F.sum("n").alias("counted"))
+    """Payments that committed, by the log, and by the customers' own counters after them."""
+    commits = payments(spark, d).join(table(spark, d, "customer").select("c_custkey"), "c_custkey", "left_semi").agg(F.count("*").alias("commits"))
+    return commits.crossJoin(payment_balances(spark, d).agg(F.sum("payment_cnt").alias("counted")))  # one row each
 
 
 # --- key-value procedures ---
 
 
-@query("ycsb_rmw", "WITH t AS (SELECT event_id AS txn, unnest(range(0, 10)) AS j, event_id FROM events WHERE event_id % 50 = 0), k AS (SELECT txn, j, (event_id * 31 + j * 97) % 1500 AS key FROM t) SELECT txn, count(*) AS reads, count(*) FILTER (j % 5 = 0) AS writes, cast(sum(cast(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS total FROM k JOIN customer ON c_custkey = key GROUP BY txn")
+@query("ycsb_rmw", "WITH t AS (SELECT event_id AS txn, unnest(range(0, 10)) AS j, event_id FROM events), k AS (SELECT txn, j, (event_id * 31 + j * 97) % 1500 AS key FROM t) SELECT txn, count(*) AS reads, count(*) FILTER (j % 5 = 0) AS writes, cast(sum(cast(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS total FROM k JOIN customer ON c_custkey = key GROUP BY txn")
 def ycsb_rmw(spark, d):
     """Ten keys for each transaction, read in one join; every fifth is written."""
-    keys = table(spark, d, "events").where("event_id % 50 = 0").select(F.col("event_id").alias("txn"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    keys = table(spark, d, "events").select(F.col("event_id").alias("txn"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
     keys = keys.withColumn("c_custkey", (F.col("txn") * 31 + F.col("j") * 97) % 1500)
     rows = table(spark, d, "customer").select("c_custkey", cents("c_acctbal").alias("b"))
     return keys.join(rows, "c_custkey").groupBy("txn").agg(F.count("*").alias("reads"), F.count(F.when(F.col("j") % 5 == 0, 1)).alias("writes"), F.sum("b").alias("total"))
 
 
-@query("ycsb_scan", "SELECT p.probe, o.o_custkey, o.rank FROM (SELECT event_id AS probe, user_id * 7 AS start FROM events WHERE event_id % 100 = 0) p, LATERAL (SELECT o_custkey, rank FROM (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS rank FROM (SELECT DISTINCT o_custkey FROM orders)) k WHERE k.o_custkey >= p.start ORDER BY k.o_custkey LIMIT 10) o")
+@query("ycsb_scan", f"WITH {RANKED}, f AS (SELECT p.event_id AS probe, k.rank AS start FROM events p ASOF JOIN k ON k.o_custkey >= p.user_id * 7) SELECT f.probe, k.o_custkey, k.rank FROM f JOIN k ON k.rank BETWEEN f.start AND f.start + 9")
 def ycsb_scan(spark, d):
-    starts = table(spark, d, "events").where("event_id % 100 = 0").select(F.col("event_id").alias("probe"), (F.col("user_id") * 7).alias("start"))
+    starts = table(spark, d, "events").select(F.col("event_id").alias("probe"), (F.col("user_id") * 7).alias("start"))
     return access.scan_each(table(spark, d, "orders"), "o_custkey", starts, "start", 10)
 
 
@@ -317,7 +324,14 @@ def nurand(spark, d):
     return table(spark, d, "events").select("event_id", scalar.nurand(F.col("user_id") * 37 % 256, F.col("event_id") % 1000, 1, 1000).alias("k"))
 
 
-@query("zipf_keys")
+def _zipf_sql(n: int, theta: float) -> str:
+    zeta = sum(1.0 / k**theta for k in range(1, n + 1))
+    two, alpha = 1 + 0.5**theta, 1 / (1 - theta)
+    eta = (1 - (2.0 / n) ** (1 - theta)) / (1 - two / zeta)
+    return f"WITH u AS (SELECT event_id, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS u FROM events) SELECT event_id, CASE WHEN u * {zeta!r}::DOUBLE < 1 THEN 0 WHEN u * {zeta!r}::DOUBLE < {two!r}::DOUBLE THEN 1 ELSE least(cast(floor({n} * pow({eta!r}::DOUBLE * u - {eta!r}::DOUBLE + 1, {alpha!r}::DOUBLE)) AS BIGINT), {n - 1}) END AS key FROM u"
+
+
+@query("zipf_keys", _zipf_sql(1000, 0.7))
 def zipf_keys(spark, d):
     u = (F.col("event_id") * 7919 % 10007) / 10007.0
     return table(spark, d, "events").select("event_id", scalar.zipf(u, 1000, 0.7).alias("key"))

@@ -26,11 +26,11 @@ def multi_key_sort(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.row_number().over(order).cast("bigint").alias("place"))
 
 
-@query("district_permutation")
+@query("district_permutation", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_custkey * 7919 + 7) % 10007, c_custkey) AS o_id FROM customer")
 def district_permutation(spark, d):
     """A permutation of each district's customers that depends on nothing but the seed."""
-    order = Window.partitionBy("c_nationkey").orderBy(F.xxhash64(F.lit(7), "c_custkey"), "c_custkey")
-    return table(spark, d, "customer").select("c_nationkey", "c_custkey", F.row_number().over(order).alias("o_id"))
+    order = Window.partitionBy("c_nationkey").orderBy((F.col("c_custkey") * 7919 + 7) % 10007, "c_custkey")
+    return table(spark, d, "customer").select("c_nationkey", "c_custkey", F.row_number().over(order).cast("bigint").alias("o_id"))
 
 
 @query("epoch_versions", "SELECT event_id, (event_id // 100) * 4294967296 + (event_id % 100) AS version, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events")

@@ -18,21 +18,23 @@ def kv_point_get(spark, d):
     return access.get(oplog.latest(events_log(spark, d)), probes(spark, [1, 7, 13, 42, 999999]), "key", ["value"])
 
 
-@query("kv_multi_get", f"WITH {STATE}, p AS (SELECT t.txn, unnest(range(t.txn * 7, t.txn * 7 + 10)) AS key FROM (SELECT unnest(range(0, 20)) AS txn) t) SELECT p.txn, count(*) AS asked, count(s.key) AS found, coalesce(cast(sum(s.value) AS BIGINT), 0) AS total FROM p LEFT JOIN state s USING (key) GROUP BY p.txn")
+@query("kv_multi_get", f"WITH {STATE}, p AS (SELECT event_id AS txn, (user_id + 13 * unnest(range(0, 10))) % 300 AS key FROM events) SELECT p.txn, count(*) AS asked, count(s.key) AS found, coalesce(cast(sum(s.value) AS BIGINT), 0) AS total FROM p LEFT JOIN state s USING (key) GROUP BY p.txn")
 def kv_multi_get(spark, d):
-    asked = spark.range(20).select(F.col("id").alias("txn"), F.explode(F.sequence(F.col("id") * 7, F.col("id") * 7 + 9)).alias("key"))
+    """Ten keys for each transaction, all of them in one join."""
+    asked = table(spark, d, "events").select(F.col("event_id").alias("txn"), "user_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    asked = asked.select("txn", ((F.col("user_id") + 13 * F.col("j")) % 300).alias("key"))
     got = access.get(oplog.latest(events_log(spark, d)), asked, "key", ["value"])
     return got.groupBy("txn").agg(F.count("*").alias("asked"), F.count("value").alias("found"), F.coalesce(F.sum("value"), F.lit(0).cast("bigint")).alias("total"))
 
 
-@query("kv_contains", f"WITH {STATE} SELECT key FROM (SELECT unnest(range(0, 400, 3)) AS key) p WHERE key IN (SELECT key FROM state)")
+@query("kv_contains", f"WITH {STATE} SELECT c_custkey AS key FROM customer WHERE c_custkey IN (SELECT key FROM state)")
 def kv_contains(spark, d):
-    return access.contains(oplog.latest(events_log(spark, d)), spark.range(0, 400, 3).select(F.col("id").alias("key")), "key")
+    return access.contains(oplog.latest(events_log(spark, d)), table(spark, d, "customer").select(F.col("c_custkey").alias("key")), "key")
 
 
-@query("kv_missing", f"WITH {STATE} SELECT key FROM (SELECT unnest(range(0, 400, 3)) AS key) p WHERE key NOT IN (SELECT key FROM state)")
+@query("kv_missing", f"WITH {STATE} SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT key FROM state)")
 def kv_missing(spark, d):
-    return access.missing(oplog.latest(events_log(spark, d)), spark.range(0, 400, 3).select(F.col("id").alias("key")), "key")
+    return access.missing(oplog.latest(events_log(spark, d)), table(spark, d, "customer").select(F.col("c_custkey").alias("key")), "key")
 
 
 @query("kv_range_scan_limit", f"WITH {STATE} SELECT key, value FROM state WHERE key >= 20 ORDER BY key LIMIT 25")
@@ -50,10 +52,14 @@ def range_scan_open(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").where(access.between("o_orderkey", 100, 900, False, False))
 
 
-@query("kv_multi_scan", "SELECT p.probe, o.o_custkey, o.rank FROM (SELECT o_custkey AS probe FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 10 = 3)) p, LATERAL (SELECT o_custkey, rank FROM (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS rank FROM (SELECT DISTINCT o_custkey FROM orders)) k WHERE k.o_custkey >= p.probe + 1 ORDER BY k.o_custkey LIMIT 10) o")
+#: Keys of orders with their ranks.
+RANKED = "k AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS rank FROM (SELECT DISTINCT o_custkey FROM orders))"
+
+
+@query("kv_multi_scan", f"WITH {RANKED}, f AS (SELECT p.o_custkey AS probe, k.rank AS start FROM k p ASOF JOIN k ON k.o_custkey >= p.o_custkey + 1) SELECT f.probe, k.o_custkey, k.rank FROM f JOIN k ON k.rank BETWEEN f.start AND f.start + 9")
 def kv_multi_scan(spark, d):
     orders = table(spark, d, "orders")
-    starts = orders.where(F.pmod("o_custkey", F.lit(10)) == 3).select("o_custkey").distinct().select(F.col("o_custkey").alias("probe"), (F.col("o_custkey") + 1).alias("start"))
+    starts = orders.select("o_custkey").distinct().select(F.col("o_custkey").alias("probe"), (F.col("o_custkey") + 1).alias("start"))
     return access.scan_each(orders, "o_custkey", starts, "start", 10)
 
 
