@@ -75,13 +75,32 @@ def plain_letters() -> dict[int, str]:
 
 FOLD = look_alikes() | INVISIBLE
 PLAIN = plain_letters()
-#: Digits and signs in a word: digits, @ and $ before a letter, one or two at a word's end, other signs between letters.
-SUBSTITUTED = re.compile(r"(?<![^\W\d_])[013457@$€]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$!#|+€£¡]+(?=[^\W\d_])|(?<=[^\W\d_])[013457@$€]{1,2}(?![\w@$€])")
-#: Four or more single letters with the same sign or space between them.
+RUN_OF_SIGNS = re.compile(r"[0134578@$!#|+€£¡]+")
+FIRM = "013457@$€"
+#: Two single letters with the same sign or space before and between them; four or more of them.
+MAYBE_SPACED = re.compile(r"([ .\-_*·])[^\W\d_]\1[^\W\d_](?!\w)").search
 SPACED = re.compile(r"(?<![\w])[^\W\d_]([ .\-_*·])(?:[^\W\d_]\1){2,}[^\W\d_](?![\w])")
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+def letters_for(m: re.Match) -> str:
+    """A run of signs with those that stand for letters replaced: all of them between letters; digits, @, $ and € right
+    before a letter; one or two of these at a word's end."""
+    run, text, start, end = m[0], m.string, m.start(), m.end()
+    before, after = start > 0 and text[start - 1].isalpha(), end < len(text) and text[end].isalpha()
+    if before and after:
+        return run.translate(SIGNS)
+    if after:
+        kept = run.rstrip(FIRM)
+        return kept + run[len(kept) :].translate(SIGNS)
+    if before:
+        firm = len(run) - len(run.lstrip(FIRM))
+        then = text[start + firm : start + firm + 1]
+        if 1 <= firm <= 2 and not (then.isalnum() or then == "_"):
+            return run[:firm].translate(SIGNS) + run[firm:]
+    return run
+
+
 def fold(text: str) -> str:
     """Folded text; accents stay, as they tell words of other languages apart."""
     text = text.lower()
@@ -89,8 +108,8 @@ def fold(text: str) -> str:
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text).lower()
         text = text.translate(FOLD)
-    text = SUBSTITUTED.sub(lambda m: m[0].translate(SIGNS), text)
-    return SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
+    text = RUN_OF_SIGNS.sub(letters_for, text)
+    return SPACED.sub(lambda m: m[0].replace(m[1], ""), text) if MAYBE_SPACED(text) else text
 
 
 def bare(text: str) -> str:
